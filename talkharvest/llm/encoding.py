@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 from ..sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Pending bytes from which on settled tokens are looked for.
+SETTLE = 24
 #: States of the lazy machine and remembered words before both are started afresh. Results do not depend on them.
 MAX_STATES, MAX_WORDS, MAX_WORD_BYTES = 100_000, 200_000, 64
 
@@ -32,6 +36,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+class Words(dict):
+    """Ids of words met before; a new word runs through the machine."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        ids = self.encode(w.encode("utf-8", "replace"))
+        if len(w) <= MAX_WORD_BYTES:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[w] = ids
+        return ids
+
+
 class State:
     __slots__ = ("anchor", "pending", "ends", "next", "tail")
 
@@ -67,7 +86,7 @@ class Transducer:
 
     def _reset(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen = Words(self.word)
         self.start = self._state(-1, b"", ())
 
     def _state(self, anchor: int, pending: bytes, ends: tuple[int, ...]) -> State:
@@ -122,15 +141,13 @@ class Transducer:
         if last < 0:
             raise ValueError("vocabulary lacks a byte")
         ends = (*s.ends, last)
-        # positions from which a later token may still start
-        paths = [self._path(pending, ends, n)]
-        for j in range(max(1, n - self.longest + 1), n):
-            if pending[j:] in self.beginnings:
-                paths.append(self._path(pending, ends, j))
-        whole = pending in self.beginnings
         common = 0
-        if not whole:
-            shared = set(paths[0]).intersection(*paths[1:])
+        if n >= SETTLE and pending not in self.beginnings:
+            # a token ends for good where the paths to all positions from which a later token may start agree
+            shared = set(self._path(pending, ends, n))
+            for j in range(max(1, n - self.longest + 1), n):
+                if pending[j:] in self.beginnings:
+                    shared.intersection_update(self._path(pending, ends, j))
             common = max(shared, default=0)
         if common:
             settled, at = [], common
@@ -165,21 +182,13 @@ class Transducer:
 
     def encode(self, text: str | None) -> array:
         """Ids of a text; null and empty texts have none. Special-token strings are ordinary text."""
-        out = array("i")
         if not text:
-            return out
-        seen, add = self.seen, out.extend
-        for m in self.words.finditer(text):
-            w = m[0]
-            ids = seen.get(w)
-            if ids is None:
-                ids = self.word(w.encode("utf-8", "replace"))
-                if len(w) <= MAX_WORD_BYTES:
-                    if len(seen) >= MAX_WORDS:
-                        seen.clear()
-                    seen[w] = ids
-            add(ids)
-        return out
+            return array("i")
+        return array("i", chain.from_iterable(map(self.seen.__getitem__, self.words.findall(text))))
+
+    def size(self, text: str | None) -> int:
+        """Number of ids of a text, each distinct word looked up once."""
+        return sum(n * len(self.seen[w]) for w, n in Counter(self.words.findall(text)).items()) if text else 0
 
 
 class Utf8Stream:
@@ -249,13 +258,19 @@ def ids_of(text: Column, path: str | None = None) -> Column:
 
 
 def sizes_of(text: Column, path: str | None = None) -> Column:
-    """struct<tokens, first_line>: tokens of the text and of its first line."""
+    """struct<tokens, first_line>: tokens of the text, and of its first line where there are more."""
 
     @F.pandas_udf("tokens int, first_line int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = machine(path)
         for texts in batches:
-            yield pd.DataFrame([(len(t.encode(x)), len(t.encode(x.split("\n", 1)[0])) if x and "\n" in x else 0) for x in texts], columns=["tokens", "first_line"])
+            rows = []
+            for x in texts:
+                first, more, rest = (x or "").partition("\n")
+                one = t.size(first)
+                # the encoding is cut at the break, which the pre-tokeniser never joins with the words before it
+                rows.append((one + t.size(more + rest) if more else one, one if more else 0))
+            yield pd.DataFrame(rows, columns=["tokens", "first_line"])
 
     return count(text)
 
