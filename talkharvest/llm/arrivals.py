@@ -132,24 +132,26 @@ def arrivals(stored: DataFrame, raw: DataFrame) -> DataFrame:
     )
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Each dated row under its own week and both neighbours."""
-    return df.where("week IS NOT NULL").withColumn("week", F.explode(F.array(*[F.col("week") + i for i in (-1, 0, 1)])))
+#: The week under which undated rows are kept.
+UNDATED = -1
 
 
-def join_in_window(later: DataFrame, earlier: DataFrame, key: str, condition: Column | None = None) -> DataFrame:
-    """Rows with equal keys whose weeks touch; an undated side touches every week. Columns besides key and week must differ."""
-    ok = F.lit(True) if condition is None else condition
-    dated = later.where("week IS NOT NULL")
-    cols = [c for c in (*later.columns, *earlier.columns) if c not in ("week", key)]
-    return (
-        _spread(later).join(earlier.where("week IS NOT NULL"), [key, "week"]).where(ok).select(cols)
-        .unionByName(dated.drop("week").join(earlier.where("week IS NULL").drop("week"), key).where(ok).select(cols))
-        .unionByName(later.where("week IS NULL").drop("week").join(earlier.drop("week"), key).where(ok).select(cols))
-    )
+def weeks_of(messages: DataFrame) -> tuple[int, int]:
+    """First and last week of all rows: two numbers, so that an undated probe can look into each."""
+    r = messages.agg(F.min("week"), F.max("week")).first()
+    return (r[0], r[1]) if r[0] is not None else (0, 0)
 
 
-def embedding_links(messages: DataFrame, cosine: float = COSINE) -> DataFrame:
+def join_in_window(later: DataFrame, earlier: DataFrame, keys: list[str], weeks: tuple[int, int], condition: Column) -> DataFrame:
+    """Rows with equal keys whose weeks touch, in one equi-join; an undated side touches every week."""
+    near = F.when(F.col("week").isNull(), F.concat(F.sequence(F.lit(weeks[0]), F.lit(weeks[1])), F.array(F.lit(UNDATED)))).otherwise(
+        F.array(F.col("week") - 1, F.col("week"), F.col("week") + 1, F.lit(UNDATED))
+    )
+    probe = later.withColumn("week", F.explode(near))
+    return probe.join(earlier.withColumn("week", F.coalesce("week", F.lit(UNDATED))), [*keys, "week"]).where(condition).drop("week")
+
+
+def embedding_links(messages: DataFrame, weeks: tuple[int, int], cosine: float = COSINE) -> DataFrame:
     """e, e_other: different embeddings of a batch and of anything near it in time whose cosine is at least ``cosine``; both ways."""
     seen = messages.where("e IS NOT NULL").select("e", "week", "batch", "embedding")
     vectors = cut(spread(seen.groupBy("e").agg(F.first("embedding").alias("embedding")), "e"))
@@ -160,7 +162,7 @@ def embedding_links(messages: DataFrame, cosine: float = COSINE) -> DataFrame:
     probe = vectors.join(asked.select("e").distinct(), "e", "left_semi").select("e", segment_keys(F.col("embedding"), True).alias("k")).select("e", "k.keys", "k.sig")
     probe = asked.join(probe, "e").select("e", "week", F.explode("keys").alias("key"), "sig")
     near = (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_o"))) <= MAX_EDITS) & (F.col("e") != F.col("e_other"))
-    found = join_in_window(probe, index, "key", near).select("e", "e_other").distinct()
+    found = join_in_window(probe, index, ["key"], weeks, near).select("e", "e_other").distinct()
     exact = (
         found.join(vectors.withColumnRenamed("embedding", "v"), "e")
         .join(vectors.select(F.col("e").alias("e_other"), F.col("embedding").alias("v_other")), "e_other")
@@ -169,63 +171,57 @@ def embedding_links(messages: DataFrame, cosine: float = COSINE) -> DataFrame:
     return exact.unionByName(exact.select(F.col("e_other").alias("e"), F.col("e").alias("e_other"))).distinct()
 
 
-def repeats(later: DataFrame, accepted: DataFrame, near: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
-    """later, earlier: the messages that repeat an accepted one that came before them."""
-    a = later.select("fp", "e", "week", F.col("message_id").alias("later"), F.col("ord").alias("ord_l"))
-    b = accepted.select("fp", "e", "week", F.col("message_id").alias("earlier"), F.col("ord").alias("ord_e"))
+def keyed(messages: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """message_id, ord, week, key, own: a message under its fingerprint and embedding, and under every near embedding (not own)."""
+    names = F.array_compact(F.array(F.concat(F.lit("f"), "fp"), F.concat(F.lit("e"), "e")))
+    own = messages.select("message_id", "ord", "week", F.explode(names).alias("key"), F.lit(True).alias("own"))
+    if near is None:
+        return own
+    other = messages.join(near, "e").select("message_id", "ord", "week", F.concat(F.lit("e"), "e_other").alias("key"), F.lit(False).alias("own"))
+    return own.unionByName(other)
+
+
+def repeats(sees: DataFrame, accepted: DataFrame, weeks: tuple[int, int] | None, days: int) -> DataFrame:
+    """later, earlier of messages (``sees``, by key) and accepted ones (by own key) that came before them, within the window."""
+    a = sees.select("key", "week", F.col("message_id").alias("later"), F.col("ord").alias("ord_l"))
+    b = accepted.select("key", "week", F.col("message_id").alias("earlier"), F.col("ord").alias("ord_e"))
     ok = (F.col("ord_e") < F.col("ord_l")) & within_window(F.col("ord_l.received_at"), F.col("ord_e.received_at"), days)
-    linked = a.join(near, "e").drop("e", "fp").withColumnRenamed("e_other", "e")
-    parts = (
-        join_in_window(a.drop("e"), b.drop("e"), "fp", ok),
-        join_in_window(a.drop("fp"), b.drop("fp"), "e", ok),
-        join_in_window(linked, b.drop("fp"), "e", ok),
-    )
-    out = parts[0].select("later", "earlier")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("later", "earlier"))
-    return out.distinct()
+    both = join_in_window(a, b, ["key"], weeks, ok) if weeks else a.drop("week").join(b.drop("week"), "key").where(ok)
+    return both.select("later", "earlier").distinct()
 
 
-def accept(messages: DataFrame, near: DataFrame, days: int = WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
-    """Accepted messages (history and batches), and the pairs later, earlier of repeats and what they repeat.
+def accept(messages: DataFrame, near: DataFrame, weeks: tuple[int, int], days: int = WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
+    """Ids of the accepted batch messages, and the pairs later, earlier.
 
-    In each round the first open message of its fingerprint and of its embedding and all near ones is accepted, and what
-    repeats it leaves; a message before which nothing linked is open cannot be a repeat any more. Copies are never
-    compared with each other, only with accepted ones.
+    In each round the first open message of its fingerprint, its embedding and all near ones is accepted, and what repeats
+    it leaves; a message before which nothing linked is open cannot be a repeat any more. Copies are never compared with
+    each other, only with accepted ones, of which a key has one a round.
     """
-    m = messages.drop("embedding")
-    near = cut(near)
-    old, new = m.where("batch = 0"), m.where("batch > 0")
-    old_repeats = repeats(new, old, near, days)
-    open_ = cut(new.join(old_repeats.select(F.col("later").alias("message_id")).distinct(), "message_id", "left_anti"))
-    # what is linked to no other open message needs no round
-    many_f = open_.where("fp IS NOT NULL").groupBy("fp").count().where("count > 1").select("fp")
-    many_e = open_.where("e IS NOT NULL").groupBy("e").count().where("count > 1").select("e").unionByName(near.select("e")).distinct()
-    linked_ids = open_.join(many_f, "fp", "left_semi").select("message_id").unionByName(open_.join(many_e, "e", "left_semi").select("message_id")).distinct()
-    accepted = [open_.join(linked_ids, "message_id", "left_anti")]
-    open_ = cut(open_.join(linked_ids, "message_id", "left_semi"))
+    old = keyed(messages.where("batch = 0"))
+    sees = cut(keyed(messages.where("batch > 0"), near))
+    old_pairs = cut(repeats(sees, old, weeks, days))
+    open_ = sees.join(old_pairs.select(F.col("later").alias("message_id")).distinct(), "message_id", "left_anti")
+    # what shares no key with another open message is accepted without a round
+    shared = open_.groupBy("key").agg(F.countDistinct("message_id").alias("n")).where("n > 1").select("key")
+    linked = cut(open_.join(shared, "key", "left_semi").select("message_id").distinct())
+    fresh_all = open_.join(linked, "message_id", "left_anti").where("own")
+    open_ = cut(open_.join(linked, "message_id", "left_semi"))
     while not open_.isEmpty():
-        first_f = open_.where("fp IS NOT NULL").groupBy("fp").agg(F.min("ord").alias("first_f"))
-        first_e = open_.where("e IS NOT NULL").groupBy("e").agg(F.min("ord").alias("first_e"))
-        first_n = near.join(first_e.select(F.col("e").alias("e_other"), "first_e"), "e_other").groupBy("e").agg(F.min("first_e").alias("first_n"))
-        placed = open_.join(first_f, "fp", "left").join(first_e, "e", "left").join(first_n, "e", "left")
-        free = F.lit(True)
-        for c in ("first_f", "first_e", "first_n"):
-            free &= F.coalesce(F.col(c) >= F.col("ord"), F.lit(True))
-        fresh = cut(placed.where(free).select(open_.columns))
-        accepted.append(fresh)
-        rest = open_.join(fresh.select("message_id"), "message_id", "left_anti")
-        gone = repeats(rest, fresh, near, days).select(F.col("later").alias("message_id")).distinct()
-        open_ = cut(rest.join(gone, "message_id", "left_anti"))
-    fresh = accepted[0]
-    for x in accepted[1:]:
-        fresh = fresh.unionByName(x)
-    return old.unionByName(fresh), old_repeats.unionByName(repeats(new, fresh, near, days)).distinct()
+        first = open_.where("own").groupBy("key").agg(F.min("ord").alias("first"))
+        mark = open_.join(first, "key").groupBy("message_id", "ord").agg(F.min("first").alias("first"))
+        fresh = cut(open_.join(mark.where("ord <= first").select("message_id"), "message_id", "left_semi").where("own"))
+        fresh_all = fresh_all.unionByName(fresh)
+        gone = repeats(open_, fresh, None, days).select(F.col("later").alias("message_id")).unionByName(fresh.select("message_id")).distinct()
+        open_ = cut(open_.join(gone, "message_id", "left_anti"))
+    fresh_all = cut(fresh_all)
+    return fresh_all.select("message_id").distinct(), old_pairs.unionByName(repeats(sees, fresh_all, weeks, days)).distinct()
 
 
 def divide(stored: DataFrame, raw: DataFrame, cosine: float = COSINE, days: int = WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
     messages = cut(arrivals(stored, raw))
-    return accept(messages, embedding_links(messages, cosine), days)
+    weeks = weeks_of(messages)
+    near = cut(embedding_links(messages, weeks, cosine))
+    return accept(messages.drop("embedding"), near, weeks, days)
 
 
 def _tables(spark, d):
