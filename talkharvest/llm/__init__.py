@@ -11,6 +11,7 @@ MODULES = (
     "arrivals",
     "encoding",
     "packing",
+    "levels",
 )
 
 
