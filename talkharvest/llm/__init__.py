@@ -12,6 +12,7 @@ MODULES = (
     "encoding",
     "packing",
     "levels",
+    "privacy",
 )
 
 
