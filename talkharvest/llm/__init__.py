@@ -13,6 +13,7 @@ MODULES = (
     "packing",
     "levels",
     "privacy",
+    "languages",
 )
 
 
