@@ -106,7 +106,7 @@ def test_scrub_links_equal_values(spark):
 
 
 def test_sentences(spark):
-    base = ["We saw the farm. We liked it.", "The guide was kind. The road was hard.", "We left at 5 p.m. by bus. The road was hard.", "We liked it. The farm was big!", "We saw the farm.", "The road was hard.", "The guide was kind."] * 12
+    base = ["We saw the farm. We liked it.", "The guide was kind. The road was hard.", "We left at 5 p.m. by bus. The road was hard.", "We liked it. The farm was big!", "We saw the farm.", "The road was hard.", "The guide was kind.", "We got wet (it rained. A lot.) and laughed."] * 12
     recs = spark.createDataFrame([(str(i), t) for i, t in enumerate(base)], "rec_id string, text string")
     m = sentences.train(recs)
     cut = lambda t: [t[a:b] for a, b in sentences.sentences(t, m)]
