@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("text_queries", "message_queries", "vector_queries")
+MODULES: tuple[str, ...] = ("text_queries", "message_queries", "vector_queries", "pipeline_queries")
 
 
 def _modules():
