@@ -37,7 +37,7 @@ LANGUAGES = {
 }
 CODES = tuple(LANGUAGES)
 #: Sentences used for fitting (per language), network size, training steps, batch and window, all bounds of the model only.
-PER_LANGUAGE, HIDDEN, STEPS, BATCH, WINDOW = 1_200, 24, 300, 160, 32
+PER_LANGUAGE, HIDDEN, STEPS, BATCH, WINDOW = 1_200, 24, 240, 160, 32
 #: Bytes read at once, sequences read together, least letters of a sentence that counts, least confidence.
 READ, TOGETHER, LEAST_LETTERS, LEAST_P = 192, 512, 6, 0.75
 
@@ -51,12 +51,15 @@ def stated(label: Column) -> Column:
     return F.coalesce(known[plain], known[short])
 
 
+_NUMBER = regex.compile(r"\d+")
 _NOISE = regex.compile(r"\[[^\]]*\]|\S+@\S+|\S+\.\S+/\S*|https?://\S+")
 
 
 def cleaned(sentence: str) -> str:
     """What the network reads: lower case, no placeholders or addresses, every digit 0, single spaces."""
-    return regex.sub(r"\s+", " ", regex.sub(r"\d+", "0", _NOISE.sub(" ", sentence))).strip().lower()
+    if "@" in sentence or "[" in sentence or "/" in sentence:
+        sentence = _NOISE.sub(" ", sentence)
+    return " ".join(_NUMBER.sub("0", sentence).split()).lower()
 
 
 def letters(text: str) -> int:
