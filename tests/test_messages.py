@@ -85,3 +85,23 @@ def test_stream_month_closing(spark, tmp_path):
     got = {(r.visit_month, r.side): r.chunk_ids for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["2026-01", "closed"] == ["a", "b"]
     assert got["2026-01", "late"] == ["late"]
+
+
+def test_pipeline(spark):
+    from pyspark.sql import functions as F
+
+    from talkharvest.functions.embedding import embed, hashing
+    from talkharvest.operators import analysis
+
+    spans = spark.createDataFrame([("N1", False, "the road was hard"), ("P3", False, "we loved the tasting")], "finding string, negated boolean, span string")
+    m = spark.createDataFrame([("a", "The road was hard. We loved the tasting.", "en"), ("b", None, "en"), ("c", "  ", None), ("d", "Blue bicycles everywhere", "en"), ("e", "♪♪", "en")], "message_id string, text string, lang string")
+    r = {x.message_id: x for x in analysis.analysed(m, embed(spans, "span").drop("span"), floor=0.5, accept=0.6).collect()}
+    assert {f.id for f in r["a"].findings} == {"N1", "P3"} and r["a"].status == "analyzed"
+    assert r["b"].status == r["c"].status == r["e"].status == "inaudible"
+    assert r["d"].off_list_count == 1 and r["d"].findings == []
+    assert analysis.aligned(["the road", "we loved", "xx"], ["the road was", "hard we loved it"]) == [0, 1, 1]
+    tries = spark.createDataFrame([("k", 1, 0.5, 0.9), ("k", 2, 0.85, 0.9), ("j", 1, 0.2, 0.9), ("j", 2, 0.4, 0.3)], "key string, attempt int, forth double, back double")
+    assert dict(map(tuple, analysis.chosen_translation(tries).collect())) == {"k": 2, "j": 2}
+    twice = embed(spark.createDataFrame([("x",), ("x",), (None,)], "t string"), "t").orderBy(F.col("t").isNull()).collect()
+    assert twice[0].embedding == twice[1].embedding and twice[2].embedding is None
+    assert all(abs(float((v * v).sum()) - 1) < 1e-5 for v in hashing(["a b", ""]))
