@@ -11,7 +11,9 @@ from ..operators import clustering, recap
 from ..sources.tables import table, unique
 
 TODAY_MONTH = "2026-06"
-#: Cosine of the near-duplicate query: below the operator's usual 0.98, which no two messages of one farm and week reach in the small tables.
+#: Cosine from which a message is a near-duplicate.
+NEAR_DUPLICATE = 0.98
+#: Cosine of the near-duplicate SQL only; it flags far more than near-duplicates.
 NEAR = 0.35
 
 
@@ -112,12 +114,12 @@ def dup_exact_leader(spark, d):
 
 
 def dup_near_embeddings(spark, d):
-    """JOIN3: batch messages with an earlier one of their farm within 7 days at cosine NEAR, by farm and week blocks."""
+    """JOIN3: batch messages with an earlier one of their farm within 7 days at cosine NEAR_DUPLICATE, by farm and week blocks."""
     m = _raw(spark, d).where("embedding IS NOT NULL AND received_at IS NOT NULL AND farm_id IS NOT NULL").select("message_id", "farm_id", F.col("received_at").cast("timestamp").alias("t"), "embedding")
     m = m.withColumn("week", F.floor(F.unix_micros("t") / F.lit(7 * 86_400_000_000)))
     a = m.select("farm_id", F.explode(F.array(F.col("week") - 1, F.col("week"))).alias("week"), F.col("message_id").alias("later"), F.col("t").alias("t_l"), F.col("embedding").alias("e_l"))
     b = m.select("farm_id", "week", F.col("message_id").alias("earlier"), F.col("t").alias("t_e"), F.col("embedding").alias("e_e"))
-    near = (F.col("t_e") < F.col("t_l")) & (F.unix_micros("t_l") - F.unix_micros("t_e") <= F.lit(7 * 86_400_000_000)) & (F.round(dot(F.col("e_l"), F.col("e_e")), 6) >= NEAR)
+    near = (F.col("t_e") < F.col("t_l")) & (F.unix_micros("t_l") - F.unix_micros("t_e") <= F.lit(7 * 86_400_000_000)) & (F.round(dot(F.col("e_l"), F.col("e_e")), 6) >= NEAR_DUPLICATE)
     return a.join(b, ["farm_id", "week"]).where(near).select(F.col("later").alias("message_id")).distinct()
 
 

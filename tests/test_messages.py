@@ -105,3 +105,19 @@ def test_pipeline(spark):
     twice = embed(spark.createDataFrame([("x",), ("x",), (None,)], "t string"), "t").orderBy(F.col("t").isNull()).collect()
     assert twice[0].embedding == twice[1].embedding and twice[2].embedding is None
     assert all(abs(float((v * v).sum()) - 1) < 1e-5 for v in hashing(["a b", ""]))
+
+
+def test_near_duplicates(spark, tmp_path):
+    from talkharvest.plans import message_queries as Q
+
+    def at(cosine):
+        return [cosine, (1 - cosine**2) ** 0.5]
+
+    day = lambda d: dt.datetime(2026, 1, d)
+    rows = [
+        ("a", "f", day(1), at(1.0)), ("b", "f", day(8), at(0.985)), ("c", "f", day(3), at(0.975)), ("d", "f", day(9), at(-1.0)), ("e", "g", day(2), at(1.0)),
+        ("f", "f", day(20), at(1.0)), ("g", "f", day(21), at(0.4)), ("h", None, day(2), at(1.0)), ("i", "f", None, at(1.0)), ("j", "f", day(2), None),
+    ]
+    spark.createDataFrame(rows, "message_id string, farm_id string, received_at timestamp, embedding array<double>").write.parquet(str(tmp_path / "messages_raw.parquet"))
+    # b repeats a (0.985, 7 days) and c (0.9993); c is only at 0.975 to a, g only at 0.4 to f
+    assert [r.message_id for r in Q.dup_near_embeddings(spark, str(tmp_path)).collect()] == ["b"]
