@@ -73,9 +73,13 @@ def recap_lines(spark, d):
 
 
 def trend_matrix(spark, d):
-    """AGG5: findings by month, one column per quarter of a fixed calendar, with the months' volume left to recap_volume."""
-    k = recap.counts(_stored(spark, d)).groupBy("finding").pivot("visit_month", ["2026-01", "2026-02", "2026-03"]).agg(F.sum("k"))
-    return k.select("finding", *[F.coalesce(f"`2026-0{i}`", F.lit(0)).alias(f"m{i}") for i in (1, 2, 3)])
+    """AGG5: finding, visit_month, k messages that cite it, n messages of the month; all stored months of every finding cited in any."""
+    m = _stored(spark, d)
+    k = recap.counts(m).groupBy("finding", "visit_month").agg(F.sum("k").alias("k"))
+    n = recap.counted(m).groupBy("visit_month").agg(F.count(F.lit(1)).alias("n"))
+    months = m.where("visit_month IS NOT NULL").select("visit_month").distinct().join(n, "visit_month", "left")
+    grid = k.select("finding").distinct().crossJoin(months)
+    return grid.join(k, ["finding", "visit_month"], "left").select("finding", "visit_month", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("k", "n")])
 
 
 def coop_aggregate(spark, d):

@@ -121,3 +121,15 @@ def test_near_duplicates(spark, tmp_path):
     spark.createDataFrame(rows, "message_id string, farm_id string, received_at timestamp, embedding array<double>").write.parquet(str(tmp_path / "messages_raw.parquet"))
     # b repeats a (0.985, 7 days) and c (0.9993); c is only at 0.975 to a, g only at 0.4 to f
     assert [r.message_id for r in Q.dup_near_embeddings(spark, str(tmp_path)).collect()] == ["b"]
+
+
+def test_trends_cover_all_months(spark, tmp_path):
+    from talkharvest.plans import message_queries as Q
+
+    m = messages(spark, [
+        ("a", "f", "2025-02", "analyzed", ["P1", "P1"], 0), ("b", "g", "2025-02", "analyzed", ["P1"], 0), ("c", "f", "2026-06", "analyzed", ["N1"], 0), ("d", "f", "2026-06", "not_sure", [], 1),
+        ("e", "f", "2026-01", "duplicate", ["P2"], 0), ("f", None, "2026-06", "analyzed", ["P1"], 0), ("g", "f", None, "analyzed", ["P1"], 0),
+    ])
+    m.write.parquet(str(tmp_path / "messages_stored.parquet"))
+    got = sorted(map(tuple, Q.trend_matrix(spark, str(tmp_path)).select("finding", "visit_month", "k", "n").collect()))
+    assert got == [("N1", "2025-02", 0, 2), ("N1", "2026-01", 0, 0), ("N1", "2026-06", 1, 2), ("P1", "2025-02", 2, 2), ("P1", "2026-01", 0, 0), ("P1", "2026-06", 0, 2)]
