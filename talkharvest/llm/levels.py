@@ -17,6 +17,8 @@ from ..sources.tables import table
 
 #: Labelled documents used for fitting, pairs drawn of them, and words below which a text has no level.
 MAX_LABELLED, PAIRS, LEAST_WORDS = 20_000, 50_000, 12
+#: Words of the blocks in which variety is measured, so that it does not depend on a document's length.
+BLOCK = 200
 EPOCHS, RATE, L2 = 250, 0.8, 1e-3
 
 FEATURES = ("sentence", "sentence_low", "sentence_high", "letters", "long", "very_long", "very_long_high", "commas", "variety")
@@ -32,6 +34,22 @@ def _words(text: Column) -> Column:
     return F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))
 
 
+def _median(sorted_values: Column) -> Column:
+    """The middle value, or the mean of the two."""
+    n = F.size(sorted_values)
+    return (F.get(sorted_values, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_values, F.floor(n / 2).cast("int"))) / 2
+
+
+def _variety(words: Column) -> Column:
+    """Median share of different words over the blocks of BLOCK words of the whole list; the last block ends with the list.
+
+    Lists are wrapped in arrays so that lambdas bind them once.
+    """
+    block = lambda w, i: F.slice(w, F.greatest(F.lit(1), F.least(i * BLOCK, F.size(w) - BLOCK) + 1), BLOCK)
+    shares = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / BLOCK).cast("int")), lambda i: F.size(F.array_distinct(block(w, i))) / F.least(F.size(w), F.lit(BLOCK)))
+    return F.get(F.transform(F.transform(F.array(words), lambda w: F.sort_array(shares(w))), _median), F.lit(0))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, words and the features of every document with LEAST_WORDS words or more.
 
@@ -40,7 +58,7 @@ def features(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     rows = docs.where("text IS NOT NULL").select("doc_id", text, _words(text).alias("words")).where(F.col("words") >= LEAST_WORDS)
     parts = F.filter(F.split(text, r"[.!?…。！？।]+[\s\"»”“)]*|[\r\n]+"), lambda s: F.length(s) >= 3)
-    rows = rows.select("doc_id", "words", F.slice(F.split(F.lower(text), r"\s+"), 1, 200).alias("head"), F.transform(parts, lambda s: F.struct(s.alias("s"), F.split(F.trim(s), " ").alias("w"))).alias("parts"))
+    rows = rows.select("doc_id", "words", _variety(F.split(F.lower(text), r"\s+")).alias("variety"), F.transform(parts, lambda s: F.struct(s.alias("s"), F.split(F.trim(s), " ").alias("w"))).alias("parts"))
     longer = lambda w, n: F.size(F.filter(w, lambda x: F.length(x) >= n)) / F.size(w)
     measured = F.transform(
         "parts",
@@ -49,8 +67,8 @@ def features(docs: DataFrame) -> DataFrame:
             F.length(F.regexp_replace(r["s"], r"[^,;，、،]", "")).alias("commas"),
         ),
     )
-    rows = rows.select("doc_id", "words", "head", measured.alias("m"))
-    rows = rows.select("doc_id", "words", "head", *[F.sort_array(F.col(f"m.{f}")).alias(f) for f in ("n", "letters", "long", "very", "commas")])
+    rows = rows.select("doc_id", "words", "variety", measured.alias("m"))
+    rows = rows.select("doc_id", "words", "variety", *[F.sort_array(F.col(f"m.{f}")).alias(f) for f in ("n", "letters", "long", "very", "commas")])
     return rows.select(
         "doc_id",
         "words",
@@ -62,7 +80,7 @@ def features(docs: DataFrame) -> DataFrame:
         _at(F.col("very"), 0.5).alias("very_long"),
         _at(F.col("very"), 0.7).alias("very_long_high"),
         F.log1p(_at(F.col("commas"), 0.5)).alias("commas"),
-        (F.size(F.array_distinct("head")) / F.size("head")).alias("variety"),
+        "variety",
     )
 
 

@@ -293,6 +293,20 @@ def test_levels(spark):
     assert {r.level for r in levels.levelled(d, lab.limit(0)).collect()} == {None}
 
 
+def test_variety_of_the_whole_text(spark):
+    def brute(words):
+        starts = [min(i, max(len(words) - 200, 0)) for i in range(0, len(words), 200)]
+        return float(np.median([len(set(words[i : i + 200])) / len(words[i : i + 200]) for i in starts]))
+
+    one, rich = ["same"] * 200, [f"w{i}" for i in range(900)]
+    texts = [one + rich, rich + one, rich[:200] + one * 4, rich[:30] + rich[:20], one + rich[:1], one + rich[:200], rich[:399] + one]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.variety for r in levels.features(docs).collect()}
+    assert got == pytest.approx({i: brute(t) for i, t in enumerate(texts)})
+    # the opening no longer decides
+    assert got[0] == 1 and got[2] == 0.005
+
+
 def test_isotonic():
     xs, ys = levels.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([1.0, 3, 2, 4, 2]))
     assert (np.diff(ys) >= 0).all() and ys[0] == 1 and ys[-1] == 3
