@@ -19,8 +19,12 @@ from ..sources.tables import table
 MAX_LABELLED, PAIRS, LEAST_WORDS = 20_000, 50_000, 12
 #: Words of the blocks in which variety is measured, so that it does not depend on a document's length.
 BLOCK = 200
+#: Characters of Han, Hiragana and Katakana, each counted as a word, and up to four of Thai, Lao, Burmese and Khmer.
+UNSPACED = r"([\u3005-\u3007\u3041-\u3096\u3099-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{323af}]|[\u0e01-\u0eff\u1000-\u109f\u1780-\u17d3]{1,4})"
 EPOCHS, RATE, L2 = 250, 0.8, 1e-3
 
+#: Features without meaning where words are single characters; there they count as the mean of the labelled documents.
+SIZED = ("letters", "long", "very_long", "very_long_high")
 FEATURES = ("sentence", "sentence_low", "sentence_high", "letters", "long", "very_long", "very_long_high", "commas", "variety")
 
 
@@ -29,8 +33,14 @@ def _at(sorted_values: Column, share: float) -> Column:
     return F.get(sorted_values, F.floor((F.size(sorted_values) - 1) * F.lit(share)).cast("int")).cast("double")
 
 
+def _spaced(text: Column) -> Column:
+    """The text with every character of the scripts without spaces as a word of its own; other texts as they are."""
+    apart = F.regexp_replace(F.regexp_replace(text, UNSPACED, " $1 "), " {2,}", " ")
+    return F.when((F.octet_length(text) >= F.length(text) + 2) & F.regexp_like(text, F.lit(UNSPACED)), apart).otherwise(text)
+
+
 def _words(text: Column) -> Column:
-    """Runs without white space: enough to tell very short texts."""
+    """Runs without white space of a ``_spaced`` text: enough to tell very short ones."""
     return F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))
 
 
@@ -51,34 +61,41 @@ def _variety(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, words and the features of every document with LEAST_WORDS words or more.
+    """doc_id, words and the features of every document with LEAST_WORDS words or more."""
+    return measured(docs).where(F.col("words") >= LEAST_WORDS)
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, words and the features of every document, those of word length null where most words are single characters.
 
     Order statistics over the sentences are used, so single easier or harder sentences do not change a document's place.
     """
     text = F.col("text")
-    rows = docs.where("text IS NOT NULL").select("doc_id", text, _words(text).alias("words")).where(F.col("words") >= LEAST_WORDS)
+    rows = docs.select("doc_id", _spaced(text).alias("text")).select("doc_id", text, _words(text).alias("words"))
     parts = F.filter(F.split(text, r"[.!?…。！？।]+[\s\"»”“)]*|[\r\n]+"), lambda s: F.length(s) >= 3)
     rows = rows.select("doc_id", "words", _variety(F.split(F.lower(text), r"\s+")).alias("variety"), F.transform(parts, lambda s: F.struct(s.alias("s"), F.split(F.trim(s), " ").alias("w"))).alias("parts"))
     longer = lambda w, n: F.size(F.filter(w, lambda x: F.length(x) >= n)) / F.size(w)
-    measured = F.transform(
+    each = F.transform(
         "parts",
         lambda r: F.struct(
             F.size(r["w"]).alias("n"), (F.length(r["s"]) / F.size(r["w"])).alias("letters"), longer(r["w"], 10).alias("long"), longer(r["w"], 14).alias("very"),
             F.length(F.regexp_replace(r["s"], r"[^,;，、،]", "")).alias("commas"),
         ),
     )
-    rows = rows.select("doc_id", "words", "variety", measured.alias("m"))
+    rows = rows.select("doc_id", "words", "variety", each.alias("m"))
     rows = rows.select("doc_id", "words", "variety", *[F.sort_array(F.col(f"m.{f}")).alias(f) for f in ("n", "letters", "long", "very", "commas")])
+    # a word and a space are two characters where words are single characters
+    sized = lambda c: F.when(_at(F.col("letters"), 0.5) > 2.5, c)
     return rows.select(
         "doc_id",
         "words",
         F.log1p(_at(F.col("n"), 0.5)).alias("sentence"),
         F.log1p(_at(F.col("n"), 0.3)).alias("sentence_low"),
         F.log1p(_at(F.col("n"), 0.7)).alias("sentence_high"),
-        _at(F.col("letters"), 0.5).alias("letters"),
-        _at(F.col("long"), 0.5).alias("long"),
-        _at(F.col("very"), 0.5).alias("very_long"),
-        _at(F.col("very"), 0.7).alias("very_long_high"),
+        sized(_at(F.col("letters"), 0.5)).alias("letters"),
+        sized(_at(F.col("long"), 0.5)).alias("long"),
+        sized(_at(F.col("very"), 0.5)).alias("very_long"),
+        sized(_at(F.col("very"), 0.7)).alias("very_long_high"),
         F.log1p(_at(F.col("commas"), 0.5)).alias("commas"),
         "variety",
     )
@@ -105,7 +122,10 @@ class Ranker:
     """Weights over standardised features and the scores at which the levels change."""
 
     def __init__(self, x: np.ndarray, level: np.ndarray, seed: int = 3):
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+        known = ~np.isnan(x)
+        self.mean = np.where(known, x, 0).sum(0) / np.maximum(known.sum(0), 1)
+        x = np.where(known, x, self.mean)
+        self.scale = np.maximum(x.std(0), 1e-9)
         z = (x - self.mean) / self.scale
         rng = np.random.default_rng(seed)
         i, j = rng.integers(0, len(z), PAIRS), rng.integers(0, len(z), PAIRS)
@@ -132,7 +152,8 @@ class Ranker:
     def score(self) -> Column:
         out = F.lit(0.0)
         for f, m, s, w in zip(FEATURES, self.mean, self.scale, self.weights):
-            out = out + (F.col(f) - F.lit(float(m))) * F.lit(float(w / s))
+            value = F.coalesce(F.col(f), F.lit(float(m))) if f in SIZED else F.col(f)
+            out = out + (value - F.lit(float(m))) * F.lit(float(w / s))
         return out
 
     def level(self, score: Column) -> Column:
@@ -147,20 +168,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ranker | None:
     rated = labels.where("doc_id IS NOT NULL AND reading_level IS NOT NULL").dropDuplicates(["doc_id", "rater"])
     rated = rated.groupBy("doc_id").agg(F.expr("percentile(reading_level, 0.5)").alias("level"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = features(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")).join(chosen, "doc_id").select("level", *FEATURES).dropna().toPandas()
+    # filters here and not in Spark, which would push them down and compute every feature again for them
+    rows = measured(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")).join(chosen, "doc_id").select("level", "words", *FEATURES).toPandas()
+    rows = rows[rows.words >= LEAST_WORDS].dropna(subset=[f for f in FEATURES if f not in SIZED])
     return Ranker(rows[list(FEATURES)].to_numpy(float), rows.level.to_numpy(float)) if len(rows) else None
 
 
 def levelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, level of every document; level is null for null, empty and very short texts, or without any label."""
-    feats = features(docs)
     model = fit(docs, labels)
-    ids = docs.select("doc_id")
     if model is None:
-        return ids.withColumns({"score": F.lit(None).cast("double"), "level": F.lit(None).cast("int")})
-    scored = feats.withColumn("score", model.score()).select("doc_id", "score", model.level(F.col("score")).alias("level"))
-    missing = docs.where(F.col("text").isNull() | (_words(F.col("text")) < LEAST_WORDS)).select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("level"))
-    return scored.unionByName(missing)
+        return docs.select("doc_id").withColumns({"score": F.lit(None).cast("double"), "level": F.lit(None).cast("int")})
+    score = F.when(F.col("words") >= LEAST_WORDS, model.score())
+    return measured(docs).withColumn("score", score).select("doc_id", "score", model.level(F.col("score")).alias("level"))
 
 
 def p9_levels(spark, d):
@@ -173,7 +193,7 @@ def p9_profile(spark, d):
 
 
 def p9_found(spark, d):
-    return p9_levels(spark, d).where("level = 4").select("doc_id").distinct()
+    return cut(p9_levels(spark, d)).where("level = 4").select("doc_id").distinct()
 
 
 QUERIES = {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}

@@ -307,6 +307,24 @@ def test_variety_of_the_whole_text(spark):
     assert got[0] == 1 and got[2] == 0.005
 
 
+def test_scripts_without_spaces_have_words(spark):
+    easy, hard = "猫がいる。犬もいる。", "制度的基盤の不均質性は持続可能性指標の運用化を著しく困難にするため参加型の取り決めにおいては分化が前提となる。"
+    zh = ("我们去了。天很热。", "尽管方法论存在异质性，制度性基础设施仍然显著地增加了参与式安排中可持续性指标操作化的复杂程度。")
+    docs = [(i, (easy, hard, *zh)[i % 4] * (2 + i % 5)) for i in range(80)] + [(100, "猫がいる。"), (101, "กาแฟดีมากและไร่กาแฟสวยงามน่าไปเที่ยวอีกครั้งในปีหน้า"), (102, "  coffee 咖啡 ")]
+    labels = [(i, "a", (1, 4)[i % 2]) for i in range(40)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, rater string, reading_level int")
+    words = {r.doc_id: r for r in levels.features(d).collect()}
+    assert words[0].words == 20 and words[0].sentence == pytest.approx(np.log1p(4)) and words[0].letters is None and 101 in words
+    got = {r.doc_id: r.level for r in levels.levelled(d, lab).collect()}
+    assert all(got[i] == (1, 4)[i % 2] for i in range(80))
+    assert got[100] is got[102] is None and len(got) == len(docs)
+    # learnt on English alone, a long hard text is still above an easy one
+    en = [(200 + i, ("We sat. The sun was hot. ", "The farmer, who had notwithstanding considerable difficulties persisted, roasted beans over the fire, because the weather remained good for all of that week. ")[i % 2] * 5) for i in range(20)]
+    both = d.unionByName(spark.createDataFrame(en, "doc_id long, text string"))
+    got = {r.doc_id: r.level for r in levels.levelled(both, spark.createDataFrame([(i, "a", (1, 4)[i % 2]) for i, _ in en], "doc_id long, rater string, reading_level int")).collect()}
+    assert got[77] > got[76] and got[79] > got[78]
+
+
 def test_isotonic():
     xs, ys = levels.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([1.0, 3, 2, 4, 2]))
     assert (np.diff(ys) >= 0).all() and ys[0] == 1 and ys[-1] == 3
