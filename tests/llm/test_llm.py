@@ -46,6 +46,25 @@ def test_clusters(spark):
     assert clusters.assign(clusters.candidates(df.limit(0))).count() == 0
 
 
+def test_typical_members_are_the_nearest(spark):
+    r = np.random.default_rng(5)
+    centre = r.standard_normal(160)
+    vecs = {f"c{i:02}": centre + (1.0 - 0.02 * i) * r.standard_normal(160) * 0.6 for i in range(40)} | {"x0": r.standard_normal(160)}
+    rows = [(i, "2026-01", f"v{i}", [float(x) for x in np.float32(v)], "u", "a" if i[0] == "c" else "b") for i, v in vecs.items()]
+    df = spark.createDataFrame(rows, "id string, period string, visitor string, embedding array<float>, unit string, cluster string")
+    got = {x.cluster: x for x in clusters.described(df).collect()}
+    ids = [i for i in vecs if i[0] == "c"]
+    x = np.stack([np.float32(vecs[i]) for i in ids]).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = clusters.quantised(x.astype(np.float32), 0)
+    n = np.bincount(cells)
+    at = [k for k in range(len(ids)) if cells[k] == len(n) - 1 - n[::-1].argmax()]
+    m = x[at].sum(0)
+    best = sorted(at, key=lambda k: (-(x[k] @ m), ids[k]))[:3]
+    assert set(got) == {"a"} and got["a"].typical == sorted(ids[k] for k in best) and len(at) > 3
+    assert got["a"].typical != sorted(ids[k] for k in at)[:3]
+
+
 def test_full_cells_are_divided(spark, monkeypatch):
     monkeypatch.setattr(clusters, "CELL_ROWS", 4)
     rows = chunk_rows(seed=2)
