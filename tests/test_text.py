@@ -82,6 +82,16 @@ def test_scrubbing(spark):
     assert {x.id: x.clean for x in again.collect()} == {k: x.clean for k, x in r.items()}
 
 
+def test_capitals_inside_sentences():
+    for text, lang, clean in [
+        ("the walk with Zolane Brobergo was long", "en", "the walk with [name] was long"), ("nous avons suivi Solène, puis Uwase-Marie", "fr", "nous avons suivi [name], puis [name]"),
+        ("ayer Yurema nos llevó", "es", "ayer [name] nos llevó"), ("then Zolane spoke", None, "then [name] spoke"), ("der Weg mit Zolane war lang", "de", "der Weg mit Zolane war lang"), ("die Bohnen und Wasser", "de-CH", "die Bohnen und Wasser"),
+        ("we drank Arabica in Rwanda on Monday and I paid by WhatsApp", "en", "we drank Arabica in Rwanda on Monday and I paid by WhatsApp"), ("It was good. Shade helped.\nBananas too: Fresh ones", "en", "It was good. Shade helped.\nBananas too: Fresh ones"),
+        ("we met Monday Zolane", "en", "we met [name]"), ("the road\nBananas", "en", "the road\nBananas"),
+    ]:
+        assert pii.names(text, lang)[0] == clean, text
+
+
 def test_slots(spark):
     assert one(spark, "Keep: {f}", lambda t: T.fill_slots(t, {"f": F.lit("stew"), "n": F.lit(None).cast("int")})) == "Keep: stew"
     import pytest
