@@ -257,8 +257,16 @@ def p6_segments(spark, d):
 
 
 def p6_documents(spark, d):
-    """rec_id, lang, p: the language of most letters of each record, with its share times its mean confidence."""
-    u = labelled_parts(cut(parts(cut(records(spark, d))))).where("lang IS NOT NULL")
+    """rec_id, lang, p: the language of most letters of each record, with its share times its mean confidence.
+
+    A record without a readable sentence (null, empty, too few letters) has lang null and p 0.
+    """
+    recs = cut(records(spark, d))
+    return recs.select("rec_id").distinct().join(main_language(labelled_parts(cut(parts(recs)))), "rec_id", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+
+
+def main_language(units: DataFrame) -> DataFrame:
+    u = units.where("lang IS NOT NULL")
     by = u.groupBy("rec_id", "lang").agg(F.sum(F.length("said")).alias("n"), F.avg("p").alias("p"))
     w = Window.partitionBy("rec_id")
     return by.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "lang"))).where("r = 1").select("rec_id", "lang", F.round(F.col("share") * F.col("p"), 6).alias("p"))

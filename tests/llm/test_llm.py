@@ -226,6 +226,16 @@ def test_gradient():
     assert abs(net.m[name][0][at] * 10 - (up - down) / (2 * eps)) < 2e-4
 
 
+def test_every_record_has_a_language_row(spark, monkeypatch):
+    recs = spark.createDataFrame([("a", "x"), ("b", None), ("c", ""), ("d", "12"), ("d", "")], "rec_id string, text string")
+    units = spark.createDataFrame([("a", "en", 0.9, "hello there"), ("a", "fr", 0.8, "oui"), ("d", None, None, "12")], "rec_id string, lang string, p double, said string")
+    monkeypatch.setattr(languages, "records", lambda *_: recs)
+    monkeypatch.setattr(languages, "parts", lambda r: r)
+    monkeypatch.setattr(languages, "labelled_parts", lambda _: units)
+    got = sorted(tuple(r) for r in languages.p6_documents(spark, "").select("rec_id", "lang", "p").collect())
+    assert got == [("a", "en", round(11 / 14 * 0.9, 6)), ("b", None, 0.0), ("c", None, 0.0), ("d", None, 0.0)]
+
+
 def test_stated_labels(spark):
     rows = [(" EN ",), ("en-GB",), ("eng",), ("Französisch",), ("日本語",), ("und",), ("unknown",), (None,), ("",), ("pt_BR",)]
     got = [r.x for r in spark.createDataFrame(rows, "l string").select(languages.stated(languages.F.col("l")).alias("x")).collect()]
