@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pii import KNOWN
 from ..sources.tables import table, unique
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -154,6 +155,8 @@ NAME_CUES = [
 _LOWER_CUES = [
     regex.compile(p.pattern.replace(r"\p{Lu}", r"\p{Ll}"), regex.I) for p in NAME_CUES
 ]
+#: Given names beyond the fixed table that the corpus may add.
+NEW_NAMES = 20_000
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\d+|[^\s\p{L}\p{M}\d]")
 # fixed values: articles and prepositions after which a lone given name is a plain word
 _ARTICLES = set("the le la les un une der die das den dem ein eine im el los las una in".split())
@@ -284,11 +287,10 @@ def learn(texts: DataFrame, labelled: DataFrame) -> Finder:
                         continue
                     if cased and w[0].islower():
                         c["w", w.lower(), ""] += 1
-                        if plain(w) in given:
-                            c["l", plain(w), ""] += 1
-                    elif plain(w) in given:
+                        c["l" if plain(w) in given else "p", plain(w), ""] += 1
+                    elif plain(w) in given or (cased and len(w) > 2 and not w.isupper() and w.lower() not in KNOWN):
                         left, right = context(tokens, i, i + 1)
-                        c["c", plain(w) + "\t" + left, right] += 1
+                        c["c" if plain(w) in given else "u", plain(w) + "\t" + left, right] += 1
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["kind", "a", "b", "n"])
 
     counts = texts.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
@@ -303,10 +305,29 @@ def learn(texts: DataFrame, labelled: DataFrame) -> Finder:
     sure = named.where(~F.col("g").isin(sorted(ambiguous)) if ambiguous else F.lit(True))
     for r in sure.groupBy(F.substring_index("a", "\t", -1).alias("left"), F.col("b").alias("right")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "left", "right").limit(CONTEXTS).collect():
         contexts[r.left, r.right] = r.n
+    given |= _new_names(counts, sure)
     counts.unpersist()
     return Finder(given, ambiguous, contexts, words)
 
 
+def _new_names(counts: DataFrame, sure: DataFrame) -> set[str]:
+    """Capitalised words that are hardly seen in lower case and stand repeatedly and in several contexts where given names stand.
+
+    A context tells a name if at least two thirds of its capitalised words are given names; places, farms and brands stand
+    among themselves. At most NEW_NAMES words, the most frequent ones.
+    """
+    keys = [F.substring_index("a", "\t", -1).alias("left"), F.col("b").alias("right")]
+    known = sure.groupBy(*keys).agg(F.sum("n").alias("g"))
+    other = counts.where("kind = 'u'").select(F.substring_index("a", "\t", 1).alias("word"), *keys, "n")
+    share = known.join(other.groupBy("left", "right").agg(F.sum("n").alias("o")), ["left", "right"], "left")
+    telling = share.where((F.col("g") >= TRUSTED) & (F.col("g") >= 2 * F.coalesce("o", F.lit(0)))).select("left", "right", F.lit(1).alias("t"))
+    seen = other.join(telling, ["left", "right"], "left").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("t", F.lit(0))).alias("inside"), F.count("t").alias("places"))
+    found = seen.where("inside >= 3 AND places >= 3 AND inside >= 0.2 * n").orderBy(F.desc("inside"), "word").limit(NEW_NAMES)
+    lower = counts.where("kind = 'p'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("low"))
+    rows = found.join(lower, "word", "left").where(F.coalesce("low", F.lit(0)) < F.greatest(F.lit(3), PLAIN_SHARE * F.col("n"))).select("word").collect()
+    return {r.word for r in rows}
+
+
 def find_all(chunks: DataFrame, finder: Finder) -> DataFrame:
     """chunk_id, pii_start, pii_end, pii_kind of every find."""
     shared = chunks.sparkSession.sparkContext.broadcast(finder)  # bounded by its tables

@@ -121,6 +121,16 @@ def test_scrub_links_equal_values(spark):
     assert [r.pii_kind for r in privacy.find_all(chunks, f).collect()] == ["phone"]
 
 
+def test_names_from_the_corpus(spark):
+    frames = ["Our driver {} left early.", "This is {} from the farm.", "{} hat das Wasser getragen.", "{} and I took photos.", "We met {} at noon."]
+    old, new = ["Anna", "Bruno", "Clara"], ["Uwase", "Leon"]
+    texts = [f.format(n) for f in frames for n in old * 3 + new] + ["We met Kivu at noon.", "Kivu is a lake.", "Near Kivu it rains.", "By Kivu we sat."] + ["We saw Basin today."] * 9
+    labelled = spark.createDataFrame([(" and ".join(old), old)], "text string, names array<string>")
+    f = privacy.learn(spark.createDataFrame([(t,) for t in texts], "text string"), labelled)
+    assert f.given == {"anna", "bruno", "clara", "uwase", "leon"}
+    assert [k for *_, k in f.find("Yesterday Uwase sang")] == ["name"] and not f.find("The Kivu was calm")
+
+
 # ---------------------------------------------------------------- p3
 
 
