@@ -1,10 +1,13 @@
 """Languages of documents and of their parts (problem 6).
 
 A bidirectional gated recurrent network reads bytes and gives every position a distribution over twelve languages; it is
-trained here, in numpy, by backpropagation through time, on sentences of labelled records. Labels are partly wrong, so
-twice during the training the sentences the network firmly contradicts are left out. Sentences (split by the
-sentence model) pool the log-probabilities of their positions; records pool their sentences. Equal sentences are read
-once; long ones are read whole, in windows.
+trained here, in numpy, by backpropagation through time, on sentences of labelled records. Labels are partly wrong, and in
+rare languages most of what is labelled so may be something else, so languages are first drawn by the root of their number,
+then sentences whose label the network firmly contradicts are left out, and training goes on until a held-out tenth is
+right. Sentences (split by the sentence model) pool the log-probabilities of their positions. How sure a pooled
+sentence is, is calibrated on the held-out tenth, and what the labels of the sample really stood for gives the prior of each
+label, so that a sentence speaks against its label only on evidence. Records pool their sentences. Long sentences are read
+whole, in windows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..plans.cut import cut, spread
+from ..plans.cut import cut
 from ..sources.tables import table, unique
 from . import sentences
 
@@ -36,10 +39,11 @@ LANGUAGES = {
     "ar": "ar ara arb arabic العربية arabe arabisch árabe arabo",
 }
 CODES = tuple(LANGUAGES)
-#: Sentences used for fitting (per language), network size, training steps, batch and window, all bounds of the model only.
-PER_LANGUAGE, HIDDEN, STEPS, BATCH, WINDOW = 1_200, 24, 240, 160, 32
-#: Bytes read at once, sequences read together, least letters of a sentence that counts, least confidence.
-READ, TOGETHER, LEAST_LETTERS, LEAST_P = 192, 512, 6, 0.75
+#: Labelled records of each language used for fitting, network size, batch and window of the training, steps between two looks
+#: at the held-out tenth, steps at most, and the share of it that must be right in every language. All are bounds of the model only.
+PER_LANGUAGE, HIDDEN, BATCH, WINDOW, LOOK, MAX_STEPS, RIGHT = 1_500, 24, 128, 48, 150, 1_200, 0.995
+#: Bytes read at once, sequences read together, least letters of a sentence that counts, least confidence, sentences remembered.
+READ, TOGETHER, LEAST_LETTERS, LEAST_P, REMEMBERED = 192, 256, 6, 0.75, 50_000
 
 
 def stated(label: Column) -> Column:
@@ -153,6 +157,36 @@ class Network:
             self.p[k] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
         return float(-(logp[:, np.arange(len(y)), y] * mask).sum() / n)
 
+    def _sums(self, some: list[bytes]) -> np.ndarray:
+        """Log-probabilities (B, languages) summed over the positions of each sequence.
+
+        The same network as ``positions`` without what training needs: both directions step together, the backward one on
+        sequences that are turned round, so no state has to pass over padding; what enters is looked up once per distinct byte triple.
+        """
+        size, length, h = len(some), np.array([len(b) for b in some]), HIDDEN
+        t = int(length.max())
+        x = np.zeros((t + 2, size), np.int32)
+        for j, b in enumerate(some):
+            x[1 : len(b) + 1, j] = np.frombuffer(b, np.uint8)
+        triple, at = np.unique((x[:-2] << 16 | x[1:-1] << 8 | x[2:]).reshape(-1), return_inverse=True)
+        before, mid, after = triple >> 16, triple >> 8 & 255, triple & 255
+        ids = mid, (before * 263 + mid) % TWO, (before * 40_503 + mid * 263 + after) % THREE
+        enter = np.concatenate([sum(self.p[n + d][i] for n, i in zip("xyw", ids)) + self.p["c" + d] for d in "fb"])
+        at = at.reshape(t, size)
+        turned = np.abs(length[None, :] - 1 - np.arange(t)[:, None])  # beyond the length it does not matter
+        rows = np.stack([at, np.take_along_axis(at, np.minimum(turned, t - 1), 0) + len(triple)], 1)
+        u, out, state = np.stack([self.p["uf"], self.p["ub"]]), np.empty((t, 2, size, h), np.float32), np.zeros((2, size, h), np.float32)
+        for i in range(t):
+            a, g = enter[rows[i]], state @ u
+            zr = 1 / (1 + np.exp(-(a[..., : 2 * h] + g[..., : 2 * h])))
+            n = np.tanh(a[..., 2 * h :] + zr[..., h:] * g[..., 2 * h :])
+            out[i] = state = n + zr[..., :h] * (state - n)
+        o = self.p["o"]
+        s = out[:, 0] @ o[:h] + np.take_along_axis(out[:, 1] @ o[h:], np.minimum(turned, t - 1)[:, :, None], 0) + self.p["k"]
+        s -= s.max(2, keepdims=True)
+        s -= np.log(np.exp(s).sum(2, keepdims=True))
+        return (s * (np.arange(t)[:, None] < length)[:, :, None]).sum(0)
+
     def pooled(self, texts: list[str]) -> np.ndarray:
         """Mean log-probability of each language over all bytes of each text; uniform for an empty one."""
         pieces, owner = [], []
@@ -165,95 +199,150 @@ class Network:
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
         for a in range(0, len(order), TOGETHER):
             some = order[a : a + TOGETHER]
-            x = np.zeros((len(pieces[some[-1]]), len(some)), np.int64)
-            for j, i in enumerate(some):
-                x[: len(pieces[i]), j] = np.frombuffer(pieces[i], np.uint8)
-            logp, *_, mask = self.positions(x)
-            s, n = (logp * mask[:, :, None]).sum(0), mask.sum(0)
-            np.add.at(total, [owner[i] for i in some], s)
-            np.add.at(count, [owner[i] for i in some], n)
+            np.add.at(total, [owner[i] for i in some], self._sums([pieces[i] for i in some]))
+            np.add.at(count, [owner[i] for i in some], [len(pieces[i]) for i in some])
         return np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], -np.log(len(CODES)))
 
 
-def confidence(mean_logp: np.ndarray, sharp: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
-    """Best language and its share after pooling; evidence of positions is not independent, so only ``sharp`` of them count."""
-    p = np.exp(sharp * (mean_logp - mean_logp.max(1, keepdims=True)))
-    p /= p.sum(1, keepdims=True)
-    return p.argmax(1), p.max(1)
+def shares(mean_logp: np.ndarray, sharp: float, prior: np.ndarray | float = 1.0) -> np.ndarray:
+    """Share of each language after pooling; evidence of positions is not independent, so only ``sharp`` of them count."""
+    s = sharp * mean_logp + np.log(prior)
+    p = np.exp(s - s.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+class Detector:
+    """The trained network, how many positions of a sentence count, and the prior of each label (the last one of none)."""
+
+    def __init__(self, net: Network, sharp: float, prior: np.ndarray):
+        self.net, self.sharp, self.prior = net, sharp, prior
+        self.net.m = {}  # only the training needs it
+        self.seen: dict[str, np.ndarray] = {}
 
+    def __call__(self, said: list[str], label: list[str | None]) -> list[tuple[str | None, float | None]]:
+        """Language and confidence of each sentence of a record with that label; null for those with too few letters."""
+        new = [t for t in dict.fromkeys(said) if t not in self.seen and letters(t) >= LEAST_LETTERS]
+        if len(self.seen) + len(new) > REMEMBERED:
+            self.seen.clear()
+            new = [t for t in dict.fromkeys(said) if letters(t) >= LEAST_LETTERS]
+        if new:
+            self.seen |= zip(new, self.net.pooled(new))
+        at = [i for i, t in enumerate(said) if t in self.seen]
+        out: list = [(None, None)] * len(said)
+        if at:
+            given = [CODES.index(label[i]) if label[i] in LANGUAGES else len(CODES) for i in at]
+            p = shares(np.stack([self.seen[said[i]] for i in at]), self.sharp, self.prior[given])
+            for i, k, v in zip(at, p.argmax(1), p.max(1)):
+                out[i] = CODES[k], float(v)
+        return out
 
-def fit(texts: list[str], labels: list[str], counts: list[int], seed: int = 5) -> Network:
-    """Trained on random windows; after a third and two thirds of the steps firmly contradicted sentences are left out."""
+
+def fit(texts: list[str], labels: list[str], share: dict[str, float], seed: int = 5) -> Detector:
+    """From sentences of labelled records; ``share`` is how many records of the corpus one record of a label stands for.
+
+    Sentences that were met under several labels count for that of most records. Without any sentence nothing is learnt.
+    """
     net, rng = Network(), np.random.default_rng(seed)
-    data = [t.encode("utf-8", "replace").replace(b"\0", b" ") for t in texts]
-    y = np.array([CODES.index(c) for c in labels])
-    keep = np.ones(len(data), bool)
-    # repeated sentences have the surest labels; languages are drawn evenly, sentences by the root of their number
-    weight = np.sqrt(np.array(counts, float))
-    pools: list = []
-    for step in range(STEPS if len(data) else 0):
-        if step in (STEPS // 3, STEPS * 2 // 3):
-            best, p = confidence(net.pooled(texts))
-            keep = (best == y) | (p < 0.9)
-        if step in (0, STEPS // 3, STEPS * 2 // 3):
-            pools = [np.repeat(w, np.maximum(1, np.rint(weight[w])).astype(int)) for w in (np.flatnonzero(keep & (y == k)) for k in range(len(CODES))) if len(w)]
-        chosen = np.array([rng.choice(pools[j % len(pools)]) for j in range(BATCH)])
+    known = np.array([CODES.index(c) for c in labels], int)
+    part = np.array([share.get(c, 1.0) for c in CODES])
+    place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    votes = np.zeros((len(place), len(CODES)))
+    np.add.at(votes, ([place[t] for t in texts], known), part[known])
+    one = list(place)
+    y, n = votes.argmax(1) if len(one) else np.zeros(0, int), votes.sum(1)
+    clear = (votes.max(1, initial=0) > 0.6 * n) & np.array([len(t.encode()) >= 12 for t in one], bool)
+    data = [t.encode("utf-8", "replace").replace(b"\0", b" ") for t in one]
+    weight = np.maximum(1, np.rint(np.sqrt(n / part[y]))).astype(int)
+    held = rng.random(len(one)) < 0.1
+    keep, test, sharp = clear & ~held, clear & held, 4.0
+    for step in range(MAX_STEPS if keep.any() else 0):
+        if step % LOOK == 0:
+            if step:
+                logp = net.pooled(one)
+                p = shares(logp, 4.0)
+                best, firm = p.argmax(1), p.max(1) >= 0.9
+                keep = clear & ~held & (best == y) & firm
+                # labels that are firmly contradicted are taken as wrong; of each language one sentence may stay doubtful
+                fair = test & ~((best != y) & firm)
+                sharp = calibrated(logp[fair], y[fair])
+                wrong, of = np.bincount(y[fair & (best != y)], minlength=len(CODES)), np.bincount(y[fair], minlength=len(CODES))
+                if step >= 3 * LOOK and (wrong <= np.maximum(1, (1 - RIGHT) * of)).all():
+                    break
+            pools = [np.repeat(w, weight[w]) for w in (np.flatnonzero(keep & (y == k)) for k in range(len(CODES)))]
+            # languages by the root of what is left of their records: rare ones more often, but not so that wrong labels of common ones rule them
+            chance = np.sqrt([n[keep & (y == k)].sum() for k in range(len(CODES))])
+            chance = chance / chance.sum()
+        languages = rng.choice(len(CODES), BATCH, p=chance)
+        chosen = np.array([pools[k][int(rng.integers(len(pools[k])))] for k in languages])
         x = np.zeros((WINDOW, BATCH), np.int64)
         for j, i in enumerate(chosen):
             b = data[i]
             a = int(rng.integers(0, max(1, len(b) - WINDOW + 1)))
             piece = b[a : a + WINDOW]
             x[: len(piece), j] = np.frombuffer(piece, np.uint8)
-        net.step(x, y[chosen], 0.02 if step < STEPS * 2 // 3 else 0.006)
-    return net
+        net.step(x, y[chosen], 0.02 if step < LOOK else 0.012 if step < 2 * LOOK else 0.004)
+    prior = np.full((len(CODES) + 1, len(CODES)), 0.5)
+    if len(one):
+        best = net.pooled(one).argmax(1)
+        np.add.at(prior, (known, best[[place[t] for t in texts]]), 1.0)
+    prior[-1] = (prior[:-1] * part[:, None]).sum(0)
+    return Detector(net, sharp, prior / prior.sum(1, keepdims=True))
+
+
+def calibrated(logp: np.ndarray, y: np.ndarray) -> float:
+    """How many positions of a sentence count: the likeliest, with one label in a hundred wrong at random."""
+    if not len(y):
+        return 4.0
+    fits = lambda sharp: np.log(0.99 * shares(logp, sharp)[np.arange(len(y)), y] + 0.01 / len(CODES)).sum()
+    return max((1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0), key=fits)
 
 
 def records(spark, d: str) -> DataFrame:
-    """rec_id, text, label of transcripts, batch messages, and the chunks of stored messages."""
-    t = unique(table(spark, d, "transcripts").select("clip_id", "transcript", "lang"), "clip_id").toDF("rec_id", "text", "label")
-    m = unique(table(spark, d, "messages_raw").select("message_id", "text", "declared_lang"), "message_id").toDF("rec_id", "text", "label")
+    """rec_id, part_id, text, label of transcripts, batch messages, and the chunks of stored messages (part_id is the chunk's)."""
+    t = unique(table(spark, d, "transcripts").select("clip_id", "transcript", "lang"), "clip_id").select("clip_id", "clip_id", "transcript", "lang").toDF("rec_id", "part_id", "text", "label")
+    m = unique(table(spark, d, "messages_raw").select("message_id", "text", "declared_lang"), "message_id").select("message_id", "message_id", "text", "declared_lang").toDF("rec_id", "part_id", "text", "label")
     s = unique(table(spark, d, "messages_stored").select("message_id", "lang"), "message_id")
     c = unique(table(spark, d, "review_chunks").select("chunk_id", "message_id", "text"), "chunk_id")
-    c = c.join(s, "message_id").select(F.col("message_id").alias("rec_id"), "text", F.col("lang").alias("label"))
-    return t.unionByName(m).unionByName(c)
-
-
-def parts(recs: DataFrame) -> DataFrame:
-    """rec_id, label, sent_no, sent_start, sentence, said (what the network reads) of every sentence."""
-    @F.pandas_udf("string")
-    def said(s: pd.Series) -> pd.Series:
-        return pd.Series([cleaned(x) for x in s], dtype=object)
-
-    split = sentences.split(recs.select("rec_id", "text", stated(F.col("label")).alias("label")), sentences.train(recs), "label")
-    return split.withColumn("said", said("sentence"))
-
-
-def labelled_parts(units: DataFrame) -> DataFrame:
-    """The sentences with lang and p; equal sentences are read once, those with too few letters get null."""
-    # a sentence met under several labels has the label of most of its records, so stray labels of repeated sentences go
-    seen = units.where("label IS NOT NULL AND length(said) >= 12").groupBy("label", "said").agg(F.count(F.lit(1)).alias("n"))
-    best = seen.groupBy("said").agg(F.max(F.struct("n", "label")).alias("b"), F.sum("n").alias("all")).where("b.n > 0.6 * all").select("said", F.col("b.label").alias("label"), F.col("b.n").alias("n"))
-    part = lambda order: Window.partitionBy("label").orderBy(*order, F.xxhash64("said"), "said")
-    ranked = best.withColumn("r", F.row_number().over(part([F.desc("n")]))).withColumn("q", F.row_number().over(part([])))
-    rows = ranked.where((F.col("r") <= PER_LANGUAGE // 2) | (F.col("q") <= PER_LANGUAGE // 2)).select("label", "said", "n").toPandas().sort_values(["label", "said"])
-    shared = units.sparkSession.sparkContext.broadcast(fit(rows.said.tolist(), rows.label.tolist(), rows.n.tolist()).p)  # a fixed number of weights
-
-    @F.pandas_udf("lang string, p double")
-    def guess(said: pd.Series) -> pd.DataFrame:
-        net = Network()
-        net.p = shared.value
-        texts = said.tolist()
-        best, p = confidence(net.pooled(texts))
-        ok = [letters(t) >= LEAST_LETTERS for t in texts]
-        return pd.DataFrame({"lang": pd.Series([CODES[b] if k else None for b, k in zip(best, ok)], dtype=object), "p": [float(v) if k else None for v, k in zip(p, ok)]})
-
-    known = spread(units.select("said").distinct(), "said").select("said", guess("said").alias("g")).select("said", "g.lang", "g.p")
-    return units.join(cut(known), "said")
+    c = c.join(s, "message_id").select(F.col("message_id").alias("rec_id"), F.col("chunk_id").alias("part_id"), "text", F.col("lang").alias("label"))
+    return t.unionByName(m).unionByName(c).withColumn("label", stated(F.col("label")))
+
+
+def sampled(scans: DataFrame) -> DataFrame:
+    """At most PER_LANGUAGE labelled records of each language, by a hash of their id."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("part_id"), "part_id"))
+    return scans.where("label IS NOT NULL AND lines <> ''").select("part_id", "label", "text", "lines").withColumn("place", place).where(F.col("place") <= PER_LANGUAGE)
+
+
+def labelled_parts(recs: DataFrame) -> DataFrame:
+    """rec_id, part_id, label, sent_no, sent_start, letters, lang, p of every sentence; lang and p are null with too few letters."""
+    scans = cut(sentences.scanned(recs, "part_id"))
+    model = sentences.train(scans)
+    texts, labels = [], []
+    for r in sampled(scans).toPandas().sort_values(["label", "place"]).itertuples():
+        for a, b in sentences.sentences(r.text, r.lines, model):
+            said = cleaned(r.text[a:b])
+            if letters(said) >= LEAST_LETTERS:
+                texts.append(said)
+                labels.append(r.label)
+    counts = {r.label: r["count"] for r in scans.where("label IS NOT NULL AND lines <> ''").groupBy("label").count().collect()}
+    detector = fit(texts, labels, {k: max(1.0, n / PER_LANGUAGE) for k, n in counts.items()})
+    shared = scans.sparkSession.sparkContext.broadcast((model, detector))  # a bounded model and a fixed number of weights
+
+    @F.pandas_udf("array<struct<a:int,n:int,lang:string,p:double>>")
+    def guess(texts: pd.Series, lines: pd.Series, label: pd.Series) -> pd.Series:
+        m, detect = shared.value
+        cuts = [sentences.sentences(t, x, m) for t, x in zip(texts, lines)]
+        said = [cleaned(t[a:b]) for t, c in zip(texts, cuts) for a, b in c]
+        found = iter(zip(said, detect(said, [k for k, c in zip(label, cuts) for _ in c])))
+        return pd.Series([[{"a": a, "n": len(t), "lang": lang, "p": p} for (a, _), (t, (lang, p)) in zip(c, found)] for c in cuts])
+
+    out = scans.where("lines <> ''").select("rec_id", "part_id", "label", F.posexplode(guess("text", "lines", "label")).alias("sent_no", "s"))
+    return out.select("rec_id", "part_id", "label", "sent_no", F.col("s.a").alias("sent_start"), F.col("s.n").alias("letters"), "s.lang", "s.p")
 
 
 def p6_segments(spark, d):
-    """rec_id, sent_no, sent_start, lang, p of every sentence of every record (sentences of all a message's chunks together)."""
-    return labelled_parts(cut(parts(cut(records(spark, d))))).select("rec_id", "sent_no", "sent_start", "lang", "p")
+    """rec_id, part_id, sent_no, sent_start, lang, p of every sentence of every record (part_id: the chunk of a stored message)."""
+    return labelled_parts(records(spark, d)).select("rec_id", "part_id", "sent_no", "sent_start", "lang", "p")
 
 
 def p6_documents(spark, d):
@@ -262,18 +351,18 @@ def p6_documents(spark, d):
     A record without a readable sentence (null, empty, too few letters) has lang null and p 0.
     """
     recs = cut(records(spark, d))
-    return recs.select("rec_id").distinct().join(main_language(labelled_parts(cut(parts(recs)))), "rec_id", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    return recs.select("rec_id").distinct().join(main_language(labelled_parts(recs)), "rec_id", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
 
 
 def main_language(units: DataFrame) -> DataFrame:
     u = units.where("lang IS NOT NULL")
-    by = u.groupBy("rec_id", "lang").agg(F.sum(F.length("said")).alias("n"), F.avg("p").alias("p"))
+    by = u.groupBy("rec_id", "lang").agg(F.sum("letters").alias("n"), F.avg("p").alias("p"))
     w = Window.partitionBy("rec_id")
     return by.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "lang"))).where("r = 1").select("rec_id", "lang", F.round(F.col("share") * F.col("p"), 6).alias("p"))
 
 
 def p6_found(spark, d):
-    u = labelled_parts(cut(parts(cut(records(spark, d)))))
+    u = labelled_parts(records(spark, d))
     return u.where(F.col("lang").isNotNull() & (F.col("p") >= LEAST_P) & ~F.col("lang").eqNullSafe(F.col("label"))).select("rec_id", "lang").distinct()
 
 

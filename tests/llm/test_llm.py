@@ -137,8 +137,8 @@ def test_names_from_the_corpus(spark):
 def test_sentences(spark):
     base = ["We saw the farm. We liked it.", "The guide was kind. The road was hard.", "We left at 5 p.m. by bus. The road was hard.", "We liked it. The farm was big!", "We saw the farm.", "The road was hard.", "The guide was kind.", "We got wet (it rained. A lot.) and laughed."] * 12
     recs = spark.createDataFrame([(str(i), t) for i, t in enumerate(base)], "rec_id string, text string")
-    m = sentences.train(recs)
-    cut = lambda t: [t[a:b] for a, b in sentences.sentences(t, m)]
+    m = sentences.train(sentences.scanned(recs))
+    cut = lambda t: [t[a:b] for a, b in sentences.sentences(t, sentences.taken(t)[0], m)]
     assert cut("We left at 5 p.m. by bus. The road was hard.") == ["We left at 5 p.m. by bus.", "The road was hard."]
     assert cut("We saw the farm.The road was hard") == ["We saw the farm.", "The road was hard"]
     assert cut("The guide was kind. 👍 We liked it\nthe road; was: hard") == ["The guide was kind. 👍", "We liked it", "the road; was: hard"]
@@ -147,8 +147,34 @@ def test_sentences(spark):
     assert cut("") == cut(None) == cut(" \n\t") == []
     assert len(cut("We liked it. " * 3000)) == 3000
     odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "We liked it.")], "rec_id string, text string")
-    assert [tuple(r) for r in sentences.split(odd, m).select("rec_id", "sent_start").collect()] == [("c", 0)]
-    assert sentences.split(odd, sentences.train(odd.limit(0))).count() == 1
+    scans = sentences.scanned(odd.withColumns({"kind": sentences.F.lit(1), "extra": sentences.F.lit(1)}))
+    assert [tuple(r) for r in sentences.split(scans, m).select("rec_id", "sent_start").collect()] == [("c", 0)]
+    assert sentences.split(scans, sentences.train(scans.limit(0))).count() == 1
+    assert sentences.split(sentences.scanned(odd.limit(0)), m).count() == 0
+
+
+def test_rare_words_and_contexts_count_for_their_class(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "SHARE", 0.02)
+    texts = ["We saw it. We left."] * 60 + [f"We saw Name{i}. Odd{i} left." for i in range(40)]
+    scans = sentences.scanned(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "rec_id string, text string"))
+    m = sentences.train(scans)
+    assert {"we", "saw", "it", "left"} == m.vocabulary
+    assert sum(m.unigram.values()) == 60 * 3 + 40 * 3 and sum(n for (w, *_), n in m.ctx.items()) == 100
+    assert m.ctx["<4>", ".s", "<4>", "C"] == 40
+
+
+def test_boundaries_against_all_event_rows():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(r.integers(1, 7))
+        odds, gaps = r.random(n), r.integers(0, 3, n)
+        p = {}
+        for bits in range(2**n):
+            e = [bits >> i & 1 for i in range(n)]
+            if not any(e[i - 1] and e[i] and not gaps[i] for i in range(1, n)):
+                p[bits] = np.prod([o if x else 1 - o for o, x in zip(odds, e)])
+        want = [sum(v for k, v in p.items() if k >> i & 1) > sum(p.values()) / 2 for i in range(n)]
+        assert sentences.boundaries(list(odds), list(gaps)) == want
 
 
 # ---------------------------------------------------------------- p4
@@ -159,9 +185,9 @@ def test_sampling(spark):
     f = spark.createDataFrame(rows + rows[:40], "id string, lang string, flags struct<negation:string,length_class:string>, category_value int")
     t = spark.createDataFrame([(1, 20, "lang", "en", 75, 1), (1, 20, "lang", "fr", 25, 8), (1, 20, "lang", "rw", 5, 3), (2, 400, "flags.negation", "none", 50, 0)], "plan_id int, sample_size int, category_field string, category_value string, target_pct int, min_rows int")
     rep = {(r.plan_id, r.category_value): (r.wanted, r.available, r.quota, r.missing) for r in sampling.report(f, t).collect()}
-    assert rep == {(1, "en"): (15, 100, 15, 0), (1, "fr"): (8, 50, 8, 0), (1, "rw"): (3, 0, 0, 3), (2, "none"): (200, 40, 40, 160)}
+    assert rep == {(1, "en"): (15, 100, 15, 0), (1, "fr"): (8, 50, 8, 0), (1, "rw"): (3, 0, 0, 3), (2, "none"): (200, 160, 160, 40)}
     s = sampling.sample(f, t).collect()
-    assert len(s) == 15 + 8 + 40 and len({(r.plan_id, r.id) for r in s}) == len(s)
+    assert len(s) == 15 + 8 + 160 and len({(r.plan_id, r.id) for r in s}) == len(s)
     assert sampling.sample(f.limit(0), t).count() == 0
 
 
@@ -205,16 +231,43 @@ def test_fingerprint():
 # ---------------------------------------------------------------- p6
 
 
-def test_network_learns():
-    en = ["the road to the farm was very hard and we were tired", "we loved the tasting of the three cups with our guide"] * 20
-    fr = ["la route vers la ferme était très dure pour nous tous", "nous avons adoré la dégustation des trois tasses avec le guide"] * 20
-    steps, languages.STEPS = languages.STEPS, 60
-    try:
-        net = languages.fit(en + fr, ["en"] * 40 + ["fr"] * 40, [1] * 80)
-    finally:
-        languages.STEPS = steps
-    best, p = languages.confidence(net.pooled(["the guide was with the cups and we were very tired", "la route avec nous était la ferme", "", "the road " * 200]))
-    assert [languages.CODES[b] for b in best[:2]] == ["en", "fr"] and languages.CODES[best[3]] == "en" and p[2] < 0.2
+def test_network_learns(monkeypatch):
+    monkeypatch.setattr(languages, "MAX_STEPS", 60)
+    en = ["the road to the farm was very hard and we were tired", "we loved the tasting of the three cups with our guide"]
+    fr = ["la route vers la ferme était très dure pour nous tous", "nous avons adoré la dégustation des trois tasses avec le guide"]
+    texts = [f"{t} {i % 7}" for i in range(40) for t in (*en, *fr)]
+    labels = ["en", "en", "fr", "fr"] * 40
+    labels[2] = labels[7] = "en"  # wrong labels of a few records
+    find = languages.fit(texts, labels, {})
+    said = ["the guide was with the cups and we were very tired", "la route avec nous était la ferme", "", "the road " * 200, "12"]
+    got = find(said, [None, "en", "fr", "zz", "en"])
+    assert [g[0] for g in got] == ["en", "fr", None, "en", None] and got[2][1] is None and all(0 < p <= 1 for _, p in (got[0], got[1], got[3]))
+    assert find.prior.shape == (13, 12) and np.allclose(find.prior.sum(1), 1) and find.prior[0, 0] > 0.8
+    assert languages.fit([], [], {})(["some words here"], [None])[0][0] in languages.CODES
+
+
+def test_reading_equals_the_trained_network():
+    net, r = languages.Network(), np.random.default_rng(2)
+    texts = ["".join(r.choice(list("abc é日\0"), int(n))) for n in r.integers(0, 90, 40)] + ["x" * 500]
+    got = net.pooled(texts)
+    for t, row in zip(texts, got):
+        b = t.encode().replace(b"\0", b" ")
+        logs = [net.positions(np.frombuffer(b[a : a + languages.READ], np.uint8).astype(np.int64)[:, None])[0][:, 0] for a in range(0, len(b), languages.READ)]
+        assert row == pytest.approx(np.concatenate(logs).mean(0) if logs else np.full(12, -np.log(12)), abs=1e-4)
+
+
+def test_languages_of_records(spark, monkeypatch):
+    monkeypatch.setattr(languages, "MAX_STEPS", 150)
+    en = ["The road to the farm was very hard.", "We loved the tasting of the three cups.", "Our guide told us about the trees.", "The lunch with beans was very good."]
+    fr = ["La route vers la ferme était très dure.", "Nous avons adoré la dégustation des tasses.", "Le guide nous a parlé des arbres.", "Le repas avec des haricots était très bon."]
+    rows = [(f"{c}{i}", f"{c}{i}", " ".join(ts[(i + k) % 4] for k in range(3)), c) for c, ts in (("en", en), ("fr", fr)) for i in range(60)]
+    odd = [("mixed", "mixed:0", en[0] + "\n" + fr[1], "en"), ("mixed", "mixed:1", en[2], "en"), ("null", "null", fr[3], None), ("wrong", "wrong", fr[0] + " " + fr[2], "en"), ("none", "none", None, "en"), ("empty", "empty", "", None), ("short", "short", "12!", "fr")]
+    got = languages.labelled_parts(spark.createDataFrame(rows + odd, "rec_id string, part_id string, text string, label string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.rec_id, set()).add(r.lang)
+    assert by["mixed"] == {"en", "fr"} and by["null"] == by["wrong"] == {"fr"} and by["short"] == {None} and not {"none", "empty"} & set(by)
+    assert sum(by[r[0]] == {r[3]} for r in rows) == len(rows) and len({(r.part_id, r.sent_no) for r in got}) == len(got)
 
 
 def test_gradient():
@@ -238,9 +291,8 @@ def test_gradient():
 
 def test_every_record_has_a_language_row(spark, monkeypatch):
     recs = spark.createDataFrame([("a", "x"), ("b", None), ("c", ""), ("d", "12"), ("d", "")], "rec_id string, text string")
-    units = spark.createDataFrame([("a", "en", 0.9, "hello there"), ("a", "fr", 0.8, "oui"), ("d", None, None, "12")], "rec_id string, lang string, p double, said string")
+    units = spark.createDataFrame([("a", "en", 0.9, 11), ("a", "fr", 0.8, 3), ("d", None, None, 2)], "rec_id string, lang string, p double, letters int")
     monkeypatch.setattr(languages, "records", lambda *_: recs)
-    monkeypatch.setattr(languages, "parts", lambda r: r)
     monkeypatch.setattr(languages, "labelled_parts", lambda _: units)
     got = sorted(tuple(r) for r in languages.p6_documents(spark, "").select("rec_id", "lang", "p").collect())
     assert got == [("a", "en", round(11 / 14 * 0.9, 6)), ("b", None, 0.0), ("c", None, 0.0), ("d", None, 0.0)]
