@@ -11,12 +11,12 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +26,9 @@ from ..sources.tables import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pending bytes from which on settled tokens are looked for.
 SETTLE = 24
-#: States of the lazy machine and remembered words before both are started afresh. Results do not depend on them.
-MAX_STATES, MAX_WORDS, MAX_WORD_BYTES = 100_000, 200_000, 64
+#: States of the lazy machine and remembered pieces before both are started afresh, and the length of those that are remembered.
+#: Results do not depend on them.
+MAX_STATES, MAX_PIECES, MAX_PIECE = 100_000, 400_000, 64
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -36,18 +37,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-class Words(dict):
-    """Ids of words met before; a new word runs through the machine."""
+class Pieces(dict):
+    """Ids (32 bits each) of what stands between two single spaces, the first of them included; a new piece runs through the machine.
+
+    No word of the pre-tokeniser reaches over a space between two characters that are none. Pieces that are empty or
+    begin or end with white space have no ids of their own (null): they are read together with their neighbours.
+    """
 
     def __init__(self, encode):
         self.encode = encode
 
-    def __missing__(self, w: str) -> tuple[int, ...]:
-        ids = self.encode(w.encode("utf-8", "replace"))
-        if len(w) <= MAX_WORD_BYTES:
-            if len(self) >= MAX_WORDS:
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = None if not piece or piece[0].isspace() or piece[-1].isspace() else self.encode(" " + piece)
+        if len(piece) <= MAX_PIECE:
+            if len(self) >= MAX_PIECES:
                 self.clear()
-            self[w] = ids
+            self[piece] = ids
         return ids
 
 
@@ -72,6 +77,12 @@ class Transducer:
         self.beginnings = {b[:k] for b in ranks for k in range(1, len(b))}
         self.words = regex.compile(pattern)
         self.fits: dict[tuple[int, int], bool] = {}
+        self.split: dict[int, tuple[int, int] | None] = {}
+        # the longest token that ends with these two bytes
+        self.reach: dict[bytes, int] = {}
+        for b in ranks:
+            if len(b) > self.reach.get(b[-2:], 0):
+                self.reach[b[-2:]] = len(b)
         self._reset()
 
     @classmethod
@@ -86,7 +97,7 @@ class Transducer:
 
     def _reset(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
-        self.seen = Words(self.word)
+        self.pieces = Pieces(self._plain)
         self.start = self._state(-1, b"", ())
 
     def _state(self, anchor: int, pending: bytes, ends: tuple[int, ...]) -> State:
@@ -95,10 +106,10 @@ class Transducer:
             s = self.states[anchor, pending] = State(anchor, pending, ends)
         return s
 
-    def merge(self, word: bytes) -> list[int]:
-        """Plain merging, used for pairs of tokens only."""
+    def merge(self, word: bytes, last: int = 1) -> list[int]:
+        """Plain merging until no pair is left, or ``last`` parts; used for single tokens only."""
         parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
+        while len(parts) > last:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = self.ranks.get(parts[i] + parts[i + 1])
@@ -109,13 +120,41 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; null for a single byte."""
+        h = self.split.get(token, 0)
+        if h == 0:
+            word = self.bytes_of[token]
+            parts = self.merge(word, 2) if len(word) > 1 else []
+            h = self.split[token] = tuple(parts) if len(parts) == 2 else None
+        return h
+
     def adjacent(self, a: int, b: int) -> bool:
-        """Can b directly follow a? An encoding is right exactly if all its neighbours can."""
+        """Can b directly follow a? An encoding is right exactly if all its neighbours can.
+
+        The merges that make a and b are undone from the last one on. Two parts that meet at the seam would have been
+        merged if their pair comes before the merge that took one of them away.
+        """
         if a < 0:
-            return self.merge(self.bytes_of[b]) == [b] if (a, b) not in self.fits else self.fits[a, b]
+            return True if len(self.bytes_of[b]) == 1 else self.halves(b) is not None
         ok = self.fits.get((a, b))
         if ok is None:
-            ok = self.fits[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            left, right, ok = a, b, True
+            until = float("inf")  # the rank at which one of the two is gone
+            while True:
+                joined = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+                if joined is not None and joined < until:
+                    ok = False
+                    break
+                x, y = self.halves(left), self.halves(right)
+                if x is None and y is None:
+                    break
+                # the later of both merges is undone; of equal ones the right one, as merging goes from the left
+                if y is None or (x is not None and left > right):
+                    until, left = left, x[1]
+                else:
+                    until, right = right + 1, y[0]
+            self.fits[a, b] = ok
         return ok
 
     def _path(self, s_pending: bytes, ends: tuple[int, ...], at: int) -> list[int]:
@@ -128,10 +167,10 @@ class Transducer:
 
     def step(self, s: State, byte: int) -> tuple[State, tuple[int, ...]]:
         pending = s.pending + bytes((byte,))
-        n = len(pending)
+        n, ranks = len(pending), self.ranks
         last = -1
-        for size in range(min(n, self.longest), 0, -1):
-            t = self.ranks.get(pending[n - size :])
+        for size in range(min(n, self.reach.get(pending[-2:], 1)), 0, -1):
+            t = ranks.get(pending[n - size :])
             if t is None:
                 continue
             before = s.anchor if size == n else s.ends[n - size - 1]
@@ -180,15 +219,38 @@ class Transducer:
         out.extend(self.finish(s))
         return tuple(out)
 
-    def encode(self, text: str | None) -> array:
-        """Ids of a text; null and empty texts have none. Special-token strings are ordinary text."""
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text, word by word of the pre-tokeniser."""
+        return array("i", chain.from_iterable(self.word(w.encode("utf-8", "replace")) for w in self.words.findall(text))).tobytes()
+
+    def raw(self, text: str | None) -> bytes:
+        """Ids of a text, 32 bits each; null and empty texts have none. Special-token strings are ordinary text.
+
+        Texts are cut at spaces where that changes nothing, and what is between them is remembered.
+        """
         if not text:
-            return array("i")
-        return array("i", chain.from_iterable(map(self.seen.__getitem__, self.words.findall(text))))
+            return b""
+        first, *rest = text.split(" ")
+        parts = [*map(self.pieces.__getitem__, rest)]
+        fine = bool(first) and not first[-1].isspace()
+        if fine and None not in parts:
+            return self._plain(first) + b"".join(parts)
+        out, stretch, ready = [], first, None
+        for piece, ids in zip(rest, parts):
+            if fine and ids is not None:
+                out.append(self._plain(stretch) if ready is None else ready)
+                stretch, ready = " " + piece, ids
+            else:
+                stretch, ready = stretch + " " + piece, None
+            fine = ids is not None
+        return b"".join([*out, self._plain(stretch) if ready is None else ready])
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.raw(text), np.int32)
 
     def size(self, text: str | None) -> int:
-        """Number of ids of a text, each distinct word looked up once."""
-        return sum(n * len(self.seen[w]) for w, n in Counter(self.words.findall(text)).items()) if text else 0
+        """Number of ids of a text."""
+        return len(self.raw(text)) // 4
 
 
 class Utf8Stream:
@@ -248,11 +310,13 @@ def decode(t: Transducer, ids) -> str:
 def ids_of(text: Column, path: str | None = None) -> Column:
     """array<int> of token ids; empty for null and empty texts."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = machine(path)
         for texts in batches:
-            yield pd.Series([np.frombuffer(t.encode(x), dtype=np.int32) if x else np.zeros(0, np.int32) for x in texts], dtype=object)
+            found = [t.raw(x) for x in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            yield pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(found), np.int32)).cast(pa.list_(pa.int32()))
 
     return encode(text)
 
@@ -268,8 +332,9 @@ def sizes_of(text: Column, path: str | None = None) -> Column:
             for x in texts:
                 first, more, rest = (x or "").partition("\n")
                 one = t.size(first)
-                # the encoding is cut at the break, which the pre-tokeniser never joins with the words before it
-                rows.append((one + t.size(more + rest) if more else one, one if more else 0))
+                # no word reaches over a break, but white space before it may join it
+                apart = more and not first[-1:].isspace()
+                rows.append(((one + t.size(more + rest) if apart else t.size(x)) if more else one, one if more else 0))
             yield pd.DataFrame(rows, columns=["tokens", "first_line"])
 
     return count(text)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut
+from ..plans.cut import cut, spread
 from ..sources.tables import table
 from .encoding import sizes_of
 
@@ -40,25 +40,28 @@ def items(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """The container of each item; sizes: items x dimensions, none above the limits. Ties go to the earlier item."""
-    n = len(sizes)
     need = sizes / limits
     order = np.argsort(-need.sum(1), kind="stable")
-    need, where, open_ = need[order], np.full(n, -1), np.ones(n, bool)
-    k = 0
-    while open_.any():
-        left = np.ones(sizes.shape[1])
-        while True:
-            fits = open_ & (need <= left + 1e-9).all(1)
-            if not fits.any():
-                break
-            at = np.flatnonzero(fits)
-            i = at[np.argmax(need[at] @ left)]
-            where[i], open_[i] = k, False
-            left = left - need[i]
-        k += 1
-    out = np.empty(n, int)
-    out[order] = where
-    return out
+    # one run of numbers for each dimension, of the items that are not placed yet; placed ones leave when they are half of it
+    ids, cols, gone = order, [np.ascontiguousarray(c) for c in need[order].T], np.zeros(len(sizes), bool)
+    where, k, placed = np.full(len(sizes), -1), 0, 0
+    left = np.ones(sizes.shape[1])
+    while len(ids):
+        fits, score = ~gone, np.zeros(len(ids))
+        for c, room in zip(cols, left):
+            fits &= c <= room + 1e-9
+            score += c * room
+        score[~fits] = -1
+        i = int(score.argmax())
+        if score[i] < 0:  # nothing fits: the next container
+            k, left = k + 1, np.ones(sizes.shape[1])
+            continue
+        where[ids[i]], gone[i], placed = k, True, placed + 1
+        left = left - [c[i] for c in cols]
+        if 2 * placed >= len(ids):
+            ids, cols = ids[~gone], [c[~gone] for c in cols]
+            gone, placed = np.zeros(len(ids), bool), 0
+    return where
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, segments: int = MAX_SEGMENTS, loss: int | None = None, group_items: int = GROUP_ITEMS, path: str | None = None) -> DataFrame:
@@ -80,7 +83,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, segments: int = MAX_SEGMENTS
         return pdf.assign(container=[f"{g}-{w}" for g, w in zip(pdf.grp, where)]).drop(columns="grp")
 
     partial = all_items.where(f"tokens > 0 AND tokens < {capacity}").withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    packed = partial.groupBy("grp").applyInPandas(one, "doc_id long, piece int, pieces int, tokens int, loss_tokens int, container string")
+    packed = spread(partial, "grp").groupBy("grp").applyInPandas(one, "doc_id long, piece int, pieces int, tokens int, loss_tokens int, container string")
     full = all_items.where(f"tokens = {capacity}").withColumn("container", F.concat_ws("-", F.lit("full"), "doc_id", "piece"))
     empty = all_items.where("tokens = 0").withColumn("container", F.lit(None).cast("string"))
     return packed.unionByName(full).unionByName(empty)

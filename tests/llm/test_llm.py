@@ -318,7 +318,7 @@ def coder():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text(alphabet="ab !?.,é\n日", max_size=120)))
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="ab !?.,é\n日", max_size=120), st.text(alphabet="a '1\n\u00a0\x1c\u3000s", max_size=40)))
 def test_ids_equal_the_public_encoder(coder, text):
     t, ref = coder
     ids = t.encode(text).tolist()
@@ -359,6 +359,33 @@ def test_packing(spark):
     assert packing.pack(d.limit(0)).count() == 0
 
 
+def test_sizes_of_first_lines(spark, coder):
+    texts = ["ab \n\n x", "ab\n\n x", "\nab", " \n", "one line", None, "", "a  b \r\n  c"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in packing.items(d).collect():
+        assert r.tokens == len(coder[0].encode(texts[r.doc_id])) == len(coder[1].encode_ordinary(texts[r.doc_id] or ""))
+
+
+def test_fill_equals_the_plain_scan():
+    r = np.random.default_rng(1)
+    sizes = np.stack([r.integers(1, 2000, 300), np.ones(300), r.integers(0, 900, 300)], 1).astype(float)
+    limits = np.array([2048.0, 6, 1800])
+    need = sizes / limits
+    order = np.argsort(-need.sum(1), kind="stable")
+    want, k = np.full(300, -1), 0
+    while (want < 0).any():
+        left = np.ones(3)
+        while True:
+            at = [i for i in order if want[i] < 0 and (need[i] <= left + 1e-9).all()]
+            if not at:
+                break
+            best = max(at, key=lambda i: sum(need[i] * left))
+            want[best], left = k, left - need[best]
+        k += 1
+    assert (packing.fill(sizes, limits) == want).all()
+    assert len(packing.fill(sizes[:0], limits)) == 0
+
+
 def test_fill_respects_every_limit():
     r = np.random.default_rng(0)
     sizes = np.stack([r.integers(1, 900, 400), np.ones(400), r.integers(0, 500, 400)], 1).astype(float)
