@@ -21,6 +21,9 @@ MAX_LABELLED, PAIRS, LEAST_WORDS = 20_000, 50_000, 12
 BLOCK = 200
 #: Characters of Han, Hiragana and Katakana, each counted as a word, and up to four of Thai, Lao, Burmese and Khmer.
 UNSPACED = r"([\u3005-\u3007\u3041-\u3096\u3099-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{323af}]|[\u0e01-\u0eff\u1000-\u109f\u1780-\u17d3]{1,4})"
+#: One quick range around them all.
+MAYBE_UNSPACED = r"[\u0e01-\u17d3\u3005-\uff9f\x{20000}-\x{323af}]"
+COMMAS = ",;，、،"
 EPOCHS, RATE, L2 = 250, 0.8, 1e-3
 
 #: Features without meaning where words are single characters; there they count as the mean of the labelled documents.
@@ -36,12 +39,19 @@ def _at(sorted_values: Column, share: float) -> Column:
 def _spaced(text: Column) -> Column:
     """The text with every character of the scripts without spaces as a word of its own; other texts as they are."""
     apart = F.regexp_replace(F.regexp_replace(text, UNSPACED, " $1 "), " {2,}", " ")
-    return F.when((F.octet_length(text) >= F.length(text) + 2) & F.regexp_like(text, F.lit(UNSPACED)), apart).otherwise(text)
+    return F.when((F.octet_length(text) >= F.length(text) + 2) & F.regexp_like(text, F.lit(MAYBE_UNSPACED)), apart).otherwise(text)
 
 
-def _words(text: Column) -> Column:
-    """Runs without white space of a ``_spaced`` text: enough to tell very short ones."""
-    return F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))
+def _full(words: Column) -> Column:
+    """Words of a text split at white space, without the empty ones before its first and after its last."""
+    ends = lambda at: F.when(F.get(words, at) == "", 1).otherwise(0)
+    return F.greatest(F.lit(1), F.size(words) - ends(F.lit(0)) - F.when(F.size(words) > 1, ends(F.size(words) - 1)).otherwise(0))
+
+
+def _without(text: Column, marks: str) -> Column:
+    for m in marks:
+        text = F.replace(text, F.lit(m), F.lit(""))
+    return text
 
 
 def _median(sorted_values: Column) -> Column:
@@ -71,15 +81,15 @@ def measured(docs: DataFrame) -> DataFrame:
     Order statistics over the sentences are used, so single easier or harder sentences do not change a document's place.
     """
     text = F.col("text")
-    rows = docs.select("doc_id", _spaced(text).alias("text")).select("doc_id", text, _words(text).alias("words"))
-    parts = F.filter(F.split(text, r"[.!?…。！？।]+[\s\"»”“)]*|[\r\n]+"), lambda s: F.length(s) >= 3)
-    rows = rows.select("doc_id", "words", _variety(F.split(F.lower(text), r"\s+")).alias("variety"), F.transform(parts, lambda s: F.struct(s.alias("s"), F.split(F.trim(s), " ").alias("w"))).alias("parts"))
+    rows = docs.select("doc_id", _spaced(text).alias("text")).select("doc_id", text, F.split(F.lower(text), r"\s+").alias("all"))
+    parts = F.filter(F.split(text, r"[.!?…。！？।\r\n]+"), lambda s: F.length(s) >= 3)
+    rows = rows.select("doc_id", _full(F.col("all")).alias("words"), _variety(F.col("all")).alias("variety"), F.transform(parts, lambda s: F.struct(s.alias("s"), F.split(F.trim(s), " ").alias("w"))).alias("parts"))
     longer = lambda w, n: F.size(F.filter(w, lambda x: F.length(x) >= n)) / F.size(w)
     each = F.transform(
         "parts",
         lambda r: F.struct(
             F.size(r["w"]).alias("n"), (F.length(r["s"]) / F.size(r["w"])).alias("letters"), longer(r["w"], 10).alias("long"), longer(r["w"], 14).alias("very"),
-            F.length(F.regexp_replace(r["s"], r"[^,;，、،]", "")).alias("commas"),
+            (F.length(r["s"]) - F.length(_without(r["s"], COMMAS))).alias("commas"),
         ),
     )
     rows = rows.select("doc_id", "words", "variety", each.alias("m"))
@@ -163,24 +173,24 @@ class Ranker:
         return out.cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Ranker | None:
-    """From the median of each document's ratings; repeated and null ratings count once and not at all. Null without labels."""
+def fit(known: DataFrame, labels: DataFrame) -> Ranker | None:
+    """From measured documents and the median of their ratings; repeated and null ratings count once and not at all. Null without labels."""
     rated = labels.where("doc_id IS NOT NULL AND reading_level IS NOT NULL").dropDuplicates(["doc_id", "rater"])
     rated = rated.groupBy("doc_id").agg(F.expr("percentile(reading_level, 0.5)").alias("level"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    # filters here and not in Spark, which would push them down and compute every feature again for them
-    rows = measured(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")).join(chosen, "doc_id").select("level", "words", *FEATURES).toPandas()
-    rows = rows[rows.words >= LEAST_WORDS].dropna(subset=[f for f in FEATURES if f not in SIZED])
+    chosen = F.broadcast(cut(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)))  # at most MAX_LABELLED rows
+    rows = known.where(F.col("words") >= LEAST_WORDS).join(chosen, "doc_id").select("doc_id", "level", *FEATURES).toPandas()
+    rows = rows.dropna(subset=[f for f in FEATURES if f not in SIZED]).sort_values(["doc_id", *FEATURES])
     return Ranker(rows[list(FEATURES)].to_numpy(float), rows.level.to_numpy(float)) if len(rows) else None
 
 
 def levelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, level of every document; level is null for null, empty and very short texts, or without any label."""
-    model = fit(docs, labels)
+    known = cut(measured(docs.select("doc_id", "text")))  # a few numbers of each document, measured once for fitting and scoring
+    model = fit(known, labels)
     if model is None:
-        return docs.select("doc_id").withColumns({"score": F.lit(None).cast("double"), "level": F.lit(None).cast("int")})
+        return known.select("doc_id").withColumns({"score": F.lit(None).cast("double"), "level": F.lit(None).cast("int")})
     score = F.when(F.col("words") >= LEAST_WORDS, model.score())
-    return measured(docs).withColumn("score", score).select("doc_id", "score", model.level(F.col("score")).alias("level"))
+    return known.withColumn("score", score).select("doc_id", "score", model.level(F.col("score")).alias("level"))
 
 
 def p9_levels(spark, d):
@@ -189,11 +199,11 @@ def p9_levels(spark, d):
 
 def p9_profile(spark, d):
     """level, documents: how demanding the corpus is."""
-    return cut(p9_levels(spark, d)).groupBy("level").agg(F.count(F.lit(1)).alias("documents"))
+    return p9_levels(spark, d).groupBy("level").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def p9_found(spark, d):
-    return cut(p9_levels(spark, d)).where("level = 4").select("doc_id").distinct()
+    return p9_levels(spark, d).where("level = 4").select("doc_id").distinct()
 
 
 QUERIES = {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
