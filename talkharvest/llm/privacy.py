@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import secrets
 import unicodedata
 from collections import Counter
 
@@ -24,8 +25,9 @@ from ..functions.pii import KNOWN
 from ..sources.tables import table, unique
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Contexts of names that are kept, and the count from which one is trusted.
-CONTEXTS, TRUSTED = 20_000, 3
+#: Words, contexts and new names are kept from this share of all counted ones on, so that at most 1 / SHARE of each reach the driver;
+#: a context is trusted from TRUSTED times on. Parts of labelled names that are taken: more than that are an error.
+SHARE, TRUSTED, MAX_GIVEN = 2e-6, 3, 100_000
 #: A given name in lower case this often against its capitalised uses is also a plain word.
 PLAIN_SHARE = 0.3
 ROUNDS = 10
@@ -105,6 +107,31 @@ _DIGIT_WORDS = {
     "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
 }
 _NUMBER_WORD = "|".join(sorted({w for s in _DIGIT_WORDS.values() for w in s.split()}, key=len, reverse=True))
+_DIGIT_OF = {w: str(max(0, i - 1) if lang == "en" else i) for lang, ws in _DIGIT_WORDS.items() for i, w in enumerate(ws.replace("zwei zwo", "zwei").split())} | {"zwo": "2"}
+_SAID = regex.compile(rf"{_NUMBER_WORD}|\d", regex.I)
+#: Dates as year-month-day or day-month-year.
+DATE = regex.compile(r"(?<!\d)(?:(?P<y>\d{4})(?P<s>-)(?P<m>\d\d)-(?P<d>\d\d)|(?P<d>\d\d)(?P<s>[./-])(?P<m>\d\d)(?P=s)(?P<y>\d{4}))(?!\d)")
+
+
+def digits_of(phone: str) -> str:
+    """A number with its spoken digits written; what is written in digits only stays as it is."""
+    if not any(c.isalpha() for c in phone):
+        return phone
+    return "".join(_DIGIT_OF.get(w.lower(), w) for w in _SAID.findall(phone))
+
+
+def pseudonym_written(value: str, key: bytes, back: bool = False) -> str:
+    """A date in one of the written formats becomes another in the same one; anything that is no valid date stays."""
+    m = DATE.fullmatch(value)
+    if not m:
+        return value
+    new = pseudonym_date(f"{m['y']}-{m['m']}-{m['d']}", key, back)
+    if new == f"{m['y']}-{m['m']}-{m['d']}":
+        return value
+    y, mo, d = new.split("-")
+    return new if value[4] == "-" else m["s"].join((d, mo, y))
+
+
 _AT = r"(?:\s*@\s*|\s*[\[({]\s*(?:at|arobase|arroba|a)\s*[\])}]\s*|\s+(?:at|arobase|arroba)\s+)"
 _DOT = r"(?:\s*[\[({]\s*(?:dot|point|punkt|punto)\s*[\])}]\s*|\s+(?:dot|point|punkt|punto)\s+|\.)"
 PLAIN_EMAIL = regex.compile(r"(?<![\p{L}\p{N}.+_-])[\p{L}\p{N}][\p{L}\p{N}.+_-]*@(?=[\d-]*\p{L})[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}")
@@ -155,8 +182,6 @@ NAME_CUES = [
 _LOWER_CUES = [
     regex.compile(p.pattern.replace(r"\p{Lu}", r"\p{Ll}"), regex.I) for p in NAME_CUES
 ]
-#: Given names beyond the fixed table that the corpus may add.
-NEW_NAMES = 20_000
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\d+|[^\s\p{L}\p{M}\d]")
 # fixed values: articles and prepositions after which a lone given name is a plain word
 _ARTICLES = set("the le la les un une der die das den dem ein eine im el los las una in".split())
@@ -243,7 +268,7 @@ class Finder:
             elif (marked and not _GOODS.search(before)) or (PHONE_CUE.search(before) and not _GOODS.search(before)):
                 found.append((*m.span(), "phone"))
         for m in SPOKEN.finditer(text):
-            said = regex.findall(rf"{_NUMBER_WORD}|\d", m[0], flags=regex.I)
+            said = _SAID.findall(m[0])
             if 7 <= len(said) <= 15 and free(*m.span()):
                 found.append((*m.span(), "phone"))
         taken = [(a, b) for a, b, _ in found]
@@ -252,15 +277,27 @@ class Finder:
                 found.append((a, b, "name"))
         return sorted(f for f in found if f[2])
 
-    def scrub(self, text: str | None, key: bytes) -> str | None:
-        """The text with every find replaced by ``[kind]`` or, for numbers, ``[kind:pseudonym]``; all else unchanged."""
+    def scrub(self, text: str | None, key: bytes, dates: bool = False) -> str | None:
+        """The text with every find replaced by ``[kind]`` or, for numbers, ``[kind:pseudonym]``; all else unchanged.
+
+        Equal numbers have equal pseudonyms under one key, whether written in digits or spoken. With ``dates`` valid dates
+        between 1900 and 2099 become others in the same format; they are no personal data of their own, so by default they stay.
+        """
         if not text:
             return text
         out, at = [], 0
-        for a, b, kind in self.find(text):
+        finds = self.find(text)
+        if dates:
+            finds = sorted([*finds, *((m.start(), m.end(), "date") for m in DATE.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in finds))])
+        for a, b, kind in finds:
             value = text[a:b]
-            numeric = kind in ("phone", "id_number") and any(c.isdigit() for c in value)
-            out += [text[at:a], f"[{kind}:{pseudonym(value, key)}]" if numeric else f"[{kind}]"]
+            if kind == "date":
+                new = pseudonym_written(value, key)
+            elif kind not in ("phone", "id_number"):
+                new = f"[{kind}]"
+            else:
+                new = f"[{kind}:{pseudonym(digits_of(value) if kind == 'phone' else value, key)}]"
+            out += [text[at:a], new]
             at = b
         return "".join(out) + text[at:]
 
@@ -268,11 +305,13 @@ class Finder:
 def learn(texts: DataFrame, labelled: DataFrame) -> Finder:
     """Given names of the labelled sentences (a fixed table), and how they and their contexts occur in all texts.
 
-    The contexts brought to the driver are the CONTEXTS most frequent ones; words known to the corpus are those seen in
-    lower case at least 5 times, at most 20,000.
+    Brought to the driver are contexts met TRUSTED times and words seen in lower case 5 times or more, both from SHARE of all
+    counted words on. Labelled names of more than MAX_GIVEN different parts are refused.
     """
-    rows = labelled.select("names").where("names IS NOT NULL").limit(100_000).collect()
-    given = {plain(p) for r in rows for n in r.names if n for p in regex.split(r"[\s-]", n) if len(p) > 1}
+    names = labelled.select(F.explode("names").alias("n")).where("n <> ''").select(F.explode(F.split("n", r"(?U)[\s-]")).alias("n")).where("length(n) > 1").distinct().limit(MAX_GIVEN + 1).collect()
+    if len(names) > MAX_GIVEN:
+        raise ValueError(f"more than {MAX_GIVEN} labelled names")
+    given = {plain(r.n) for r in names}
 
     def count(batches):
         for pdf in batches:
@@ -296,25 +335,26 @@ def learn(texts: DataFrame, labelled: DataFrame) -> Finder:
     counts = texts.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     lower = Counter({r.a: r.n for r in counts.where("kind = 'l'").collect()})  # at most the given names
-    words = {r.a for r in counts.where("kind = 'w' AND n >= 5").orderBy(F.desc("n"), "a").limit(20_000).collect()}
+    least = SHARE * (counts.agg(F.sum("n")).first()[0] or 0)
+    words = {r.a for r in counts.where((F.col("kind") == "w") & (F.col("n") >= max(5, least))).collect()}
     contexts: Counter = Counter()
     # only names that are hardly ever plain words teach contexts
     named = counts.where("kind = 'c'").withColumn("g", F.substring_index("a", "\t", 1))
     upper = Counter({r.g: r.n for r in named.groupBy("g").agg(F.sum("n").alias("n")).collect()})  # at most the given names
     ambiguous = {g for g in given if lower[g] >= max(3, PLAIN_SHARE * upper[g])}
     sure = named.where(~F.col("g").isin(sorted(ambiguous)) if ambiguous else F.lit(True))
-    for r in sure.groupBy(F.substring_index("a", "\t", -1).alias("left"), F.col("b").alias("right")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "left", "right").limit(CONTEXTS).collect():
+    for r in sure.groupBy(F.substring_index("a", "\t", -1).alias("left"), F.col("b").alias("right")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(TRUSTED, least)).collect():
         contexts[r.left, r.right] = r.n
-    given |= _new_names(counts, sure)
+    given |= _new_names(counts, sure, least)
     counts.unpersist()
     return Finder(given, ambiguous, contexts, words)
 
 
-def _new_names(counts: DataFrame, sure: DataFrame) -> set[str]:
+def _new_names(counts: DataFrame, sure: DataFrame, least: float) -> set[str]:
     """Capitalised words that are hardly seen in lower case and stand repeatedly and in several contexts where given names stand.
 
     A context tells a name if at least two thirds of its capitalised words are given names; places, farms and brands stand
-    among themselves. At most NEW_NAMES words, the most frequent ones.
+    among themselves. Words below ``least`` inside such contexts are left out.
     """
     keys = [F.substring_index("a", "\t", -1).alias("left"), F.col("b").alias("right")]
     known = sure.groupBy(*keys).agg(F.sum("n").alias("g"))
@@ -322,7 +362,7 @@ def _new_names(counts: DataFrame, sure: DataFrame) -> set[str]:
     share = known.join(other.groupBy("left", "right").agg(F.sum("n").alias("o")), ["left", "right"], "left")
     telling = share.where((F.col("g") >= TRUSTED) & (F.col("g") >= 2 * F.coalesce("o", F.lit(0)))).select("left", "right", F.lit(1).alias("t"))
     seen = other.join(telling, ["left", "right"], "left").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("t", F.lit(0))).alias("inside"), F.count("t").alias("places"))
-    found = seen.where("inside >= 3 AND places >= 3 AND inside >= 0.2 * n").orderBy(F.desc("inside"), "word").limit(NEW_NAMES)
+    found = seen.where((F.col("inside") >= max(3, least)) & F.expr("places >= 3 AND inside >= 0.2 * n"))
     lower = counts.where("kind = 'p'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("low"))
     rows = found.join(lower, "word", "left").where(F.coalesce("low", F.lit(0)) < F.greatest(F.lit(3), PLAIN_SHARE * F.col("n"))).select("word").collect()
     return {r.word for r in rows}
@@ -351,8 +391,15 @@ def p2_found(spark, d):
     return find_all(chunks, finder).select("chunk_id", "pii_kind").distinct()
 
 
-def p2_scrubbed(spark, d, key: bytes = b"talkharvest"):
-    """chunk_id, text with placeholders; null texts stay null."""
+def secret(spark) -> bytes:
+    """The key of ``spark.talkharvest.pseudonym.key``; where none is set a new one that is not kept, so that nobody can turn pseudonyms back."""
+    key = spark.conf.get("spark.talkharvest.pseudonym.key", None)
+    return key.encode() if key else secrets.token_bytes(32)
+
+
+def p2_scrubbed(spark, d, key: bytes | None = None):
+    """chunk_id, text with placeholders; null texts stay null. Without a key in the session pseudonyms differ from run to run."""
+    key = key or secret(spark)
     chunks, finder = _prepared(spark, d)
     shared = spark.sparkContext.broadcast(finder)
 

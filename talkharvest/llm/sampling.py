@@ -8,13 +8,17 @@ uniform sample are again a uniform sample.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.tables import table, unique
 
 #: Salts of a category in the first reduction of its reservoir.
 SALTS = 32
+#: Different category fields of all plans; more are an error, none is left out.
+MAX_FIELDS = 256
 
 
 def plain_lang(c: Column) -> Column:
@@ -57,21 +61,39 @@ def quotas(targets: DataFrame) -> DataFrame:
 
 
 def reservoirs(cats: DataFrame, sizes: DataFrame, seed: int = 17) -> DataFrame:
-    """Per category the ``keep`` rows of smallest keyed hash, with their position; salted first, then merged."""
+    """Per category the ``keep`` rows of smallest keyed hash, with their position.
+
+    One pass over each partition keeps a reservoir of every category, and only those are dealt; salts merge them first,
+    then categories. What a partition holds is one batch and its reservoirs, and what moves at most all reservoirs.
+    """
     keyed = cats.join(F.broadcast(sizes), ["category_field", "category_value"]).withColumn("draw", F.xxhash64("id", F.lit(seed)))
-    salted = Window.partitionBy("category_field", "category_value", F.pmod("draw", F.lit(SALTS))).orderBy("draw", "id")
-    merged = Window.partitionBy("category_field", "category_value").orderBy("draw", "id")
-    part = keyed.withColumn("place", F.row_number().over(salted)).where("place <= keep")
-    return part.withColumn("place", F.row_number().over(merged)).where("place <= keep").select("id", "category_field", "category_value", "place")
+    key = ["category_field", "category_value"]
+
+    def smallest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*key, "draw", "id"], kind="stable")
+        return pdf[pdf.groupby(key).cumcount() < pdf.keep]
+
+    def part(batches):
+        held = None
+        for pdf in batches:
+            held = smallest(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
+        if held is not None:
+            yield held
+
+    part_of = keyed.mapInPandas(part, StructType([StructField(f.name, f.dataType) for f in keyed.schema]))
+    salted = Window.partitionBy(*key, F.pmod("draw", F.lit(SALTS))).orderBy("draw", "id")
+    merged = Window.partitionBy(*key).orderBy("draw", "id")
+    few = part_of.withColumn("place", F.row_number().over(salted)).where("place <= keep")
+    return few.withColumn("place", F.row_number().over(merged)).where("place <= keep").select("id", *key, "place")
 
 
 def _prepared(feedback: DataFrame, targets: DataFrame):
     want = quotas(targets)
     # the plan table is fixed and tiny; its distinct field names shape the plan, not the data
-    fields = sorted(r[0] for r in want.select("category_field").distinct().limit(64).collect())
-    if not fields:
-        fields = ["lang"]
-    return want, categories(feedback, fields)
+    fields = sorted(r[0] for r in want.select("category_field").distinct().limit(MAX_FIELDS + 1).collect())
+    if len(fields) > MAX_FIELDS:
+        raise ValueError(f"plans of more than {MAX_FIELDS} different fields")
+    return want, categories(feedback, fields or ["lang"])
 
 
 def sample(feedback: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:

@@ -121,6 +121,25 @@ def test_scrub_links_equal_values(spark):
     assert [r.pii_kind for r in privacy.find_all(chunks, f).collect()] == ["phone"]
 
 
+def test_spoken_numbers_and_dates_are_linked(spark):
+    f = finder(spark)
+    a, b = f.scrub("WhatsApp: zero seven six eight one six zero two", b"k"), f.scrub("My phone: 0 7 six eight 1 six zero two", b"k")
+    assert a[a.index("[phone:") :] == b[b.index("[phone:") :] and len(a.split("[phone:")[1]) == 9
+    assert privacy.digits_of("null eins zwei zwo neun") == "01229" and privacy.digits_of("zero oh one nine") == "0019" and privacy.digits_of("+250 788") == "+250 788"
+    text = "We came on 14.05.2026, 2026-05-14 and 31.02.2026."
+    assert f.scrub(text, b"k") == text
+    d = f.scrub(text, b"k", dates=True)
+    assert d.endswith("31.02.2026.") and privacy.pseudonym_written(d[11:21], b"k", back=True) == "14.05.2026" and d[11:21] != "14.05.2026"
+    assert d[23:33].split("-") == d[11:21].split(".")[::-1]
+
+
+def test_the_key_is_no_constant(spark):
+    assert privacy.secret(spark) != privacy.secret(spark)
+    spark.conf.set("spark.talkharvest.pseudonym.key", "abc")
+    assert privacy.secret(spark) == b"abc"
+    spark.conf.unset("spark.talkharvest.pseudonym.key")
+
+
 def test_names_from_the_corpus(spark):
     frames = ["Our driver {} left early.", "This is {} from the farm.", "{} hat das Wasser getragen.", "{} and I took photos.", "We met {} at noon."]
     old, new = ["Anna", "Bruno", "Clara"], ["Uwase", "Leon"]
@@ -189,6 +208,12 @@ def test_sampling(spark):
     s = sampling.sample(f, t).collect()
     assert len(s) == 15 + 8 + 160 and len({(r.plan_id, r.id) for r in s}) == len(s)
     assert sampling.sample(f.limit(0), t).count() == 0
+    # the reservoirs are those of one pass over all rows
+    cats = sampling.categories(f, ["lang"]).repartition(7)
+    got = sorted((r.category_value, r.place, r.id) for r in sampling.reservoirs(cats, spark.createDataFrame([("lang", "en", 30), ("lang", "fr", 90)], "category_field string, category_value string, keep long")).collect())
+    drawn = sorted((r.category_value, r.d, r.id) for r in cats.select("category_value", sampling.F.xxhash64("id", sampling.F.lit(17)).alias("d"), "id").collect())
+    en, fr = [x[2] for x in drawn if x[0] == "en"][:30], [x[2] for x in drawn if x[0] == "fr"]
+    assert got == [("en", i + 1, x) for i, x in enumerate(en)] + [("fr", i + 1, x) for i, x in enumerate(fr)]
 
 
 # ---------------------------------------------------------------- p5
