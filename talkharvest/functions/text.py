@@ -157,8 +157,9 @@ def is_phantom(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """TXT16. 28 hex digits of the words' SHA-256; equal for texts with equal words."""
-    return F.substring(F.sha2(F.concat_ws(" ", words(text)), 256), 1, 28)
+    """TXT16. 28 hex digits of the words' SHA-256; equal for texts with equal words, null for one without any."""
+    plain = F.concat_ws(" ", words(text))
+    return F.when(plain != "", F.substring(F.sha2(plain, 256), 1, 28))
 
 
 def wer_normalised(text: Column) -> Column:

@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import dot
-from ..operators import clustering, recap
+from ..operators import clustering, duplicates, recap
+from .cut import cut
+from .text_queries import _words
 from ..sources.tables import table, unique
 
 TODAY_MONTH = "2026-06"
-#: Cosine from which a message is a near-duplicate.
-NEAR_DUPLICATE = 0.98
-#: Cosine of the near-duplicate SQL only; it flags far more than near-duplicates.
-NEAR = 0.35
 
 
 def _stored(spark, d) -> DataFrame:
@@ -95,36 +92,24 @@ def coop_everywhere(spark, d):
 # ---- duplicates
 
 
-def dup_exact_chained(spark, d):
-    """WIN3/JOIN2: a fingerprint that came within 7 days of the one before it, every delivery extending the window."""
-    m = _raw(spark, d).select("message_id", "received_at", "fingerprint").where("fingerprint IS NOT NULL AND received_at IS NOT NULL")
-    w = Window.partitionBy("fingerprint").orderBy("received_at", "message_id")
-    gap = F.col("received_at") - F.lag("received_at").over(w)
-    return m.withColumn("duplicate", F.coalesce(gap <= F.expr("INTERVAL 7 DAYS"), F.lit(False))).select("message_id", "duplicate")
+def _messages(spark, d) -> DataFrame:
+    cols = ["message_id", "received_at", "fingerprint", "embedding"]
+    return cut(duplicates.messages(table(spark, d, "messages_stored").select(cols), table(spark, d, "messages_raw").select(*cols, "text")))
 
 
-def dup_exact_leader(spark, d):
-    """WIN4: only kept originals open a window. Runs as one pass over each fingerprint's sorted times."""
-    m = _raw(spark, d).select("message_id", "received_at", "fingerprint").where("fingerprint IS NOT NULL AND received_at IS NOT NULL")
-    day = F.lit(7 * 86_400_000_000)
-    items = m.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("received_at").cast("timestamp")).alias("t"), "message_id"))).alias("l"))
-    start = F.struct(F.lit(None).cast("bigint").alias("lead"), F.array().cast("array<struct<message_id:string,duplicate:boolean>>").alias("out"))
+def dup_exact_chained(spark, d):
+    """JOIN2/WIN3: batch messages whose fingerprint was met within 7 days, in the history or earlier in the batches."""
+    return duplicates.exact(_messages(spark, d).drop("embedding"))
 
-    def step(acc, x):
-        dup = F.coalesce(x["t"] - acc["lead"] <= day, F.lit(False))
-        return F.struct(F.when(dup, acc["lead"]).otherwise(x["t"]).alias("lead"), F.concat(acc["out"], F.array(F.struct(x["message_id"].alias("message_id"), dup.alias("duplicate")))).alias("out"))
 
-    return items.select(F.explode(F.aggregate("l", start, step, lambda a: a["out"])).alias("o")).select("o.*")
+def dup_exact_leader(spark, d):
+    """WIN4: only kept originals open a window."""
+    return duplicates.leaders(_messages(spark, d).drop("embedding"))
 
 
 def dup_near_embeddings(spark, d):
-    """JOIN3: batch messages with an earlier one of their farm within 7 days at cosine NEAR_DUPLICATE, by farm and week blocks."""
-    m = _raw(spark, d).where("embedding IS NOT NULL AND received_at IS NOT NULL AND farm_id IS NOT NULL").select("message_id", "farm_id", F.col("received_at").cast("timestamp").alias("t"), "embedding")
-    m = m.withColumn("week", F.floor(F.unix_micros("t") / F.lit(7 * 86_400_000_000)))
-    a = m.select("farm_id", F.explode(F.array(F.col("week") - 1, F.col("week"))).alias("week"), F.col("message_id").alias("later"), F.col("t").alias("t_l"), F.col("embedding").alias("e_l"))
-    b = m.select("farm_id", "week", F.col("message_id").alias("earlier"), F.col("t").alias("t_e"), F.col("embedding").alias("e_e"))
-    near = (F.col("t_e") < F.col("t_l")) & (F.unix_micros("t_l") - F.unix_micros("t_e") <= F.lit(7 * 86_400_000_000)) & (F.round(dot(F.col("e_l"), F.col("e_e")), 6) >= NEAR_DUPLICATE)
-    return a.join(b, ["farm_id", "week"]).where(near).select(F.col("later").alias("message_id")).distinct()
+    """JOIN3: batch messages at a cosine of 0.98 or more to one met within 7 days."""
+    return duplicates.near(_messages(spark, d))
 
 
 def expire_columns(spark, d):
@@ -297,6 +282,10 @@ _KF = "kf AS (SELECT farm_id, visit_month, polarity, finding, k, streak FROM t W
 _MONTH = "strftime(received_at + INTERVAL 2 HOURS, '%Y-%m')"
 _COOP = f"""WITH a AS (SELECT count(*) FILTER (consent) AS consenting FROM farms), m AS (SELECT s.farm_id, message_id, unnest(coop_findings) AS finding FROM {_S} s JOIN farms USING (farm_id) WHERE consent AND status NOT IN ('duplicate', 'inaudible'))
   SELECT finding, count(DISTINCT farm_id) AS farms, count(DISTINCT message_id) AS mentions, min(consenting) AS consenting FROM m JOIN findings ON finding_id = finding, a GROUP BY finding"""
+# fingerprints where missing: the words of the plain text; dates are inside the window where one is missing; the order of arrival
+_M = f"""m AS (SELECT message_id, true AS old, received_at AS t, fingerprint AS fp, embedding::DOUBLE[] AS embedding FROM {_S}
+  UNION ALL SELECT message_id, false, received_at, coalesce(fingerprint, CASE WHEN len({_words("text")}) > 0 THEN substr(sha256(array_to_string({_words("text")}, ' ')), 1, 28) END), embedding::DOUBLE[] FROM {_R})"""
+_BEFORE = "(b.old OR (coalesce(b.t, TIMESTAMP '9999-01-01'), b.message_id) < (coalesce(a.t, TIMESTAMP '9999-01-01'), a.message_id)) AND (a.t IS NULL OR b.t IS NULL OR (b.t >= a.t - INTERVAL 7 DAYS AND b.t <= a.t + INTERVAL 7 DAYS))"
 ORACLE = {
     "message_findings_union": f"SELECT message_id, f.id AS finding, max(f.confidence) AS confidence FROM (SELECT message_id, unnest(findings) AS f FROM {_S}) GROUP BY ALL",
     "coop_findings_filter": f"SELECT message_id, len(list_filter(list_distinct(list_transform(findings, lambda f: f.id)), lambda x: NOT list_contains(coalesce(coop_findings, []), x)))::INT AS withheld FROM {_S} WHERE len(list_filter(list_distinct(list_transform(findings, lambda f: f.id)), lambda x: NOT list_contains(coalesce(coop_findings, []), x))) > 0",
@@ -311,12 +300,17 @@ ORACLE = {
       UNION ALL SELECT v.farm_id, v.visit_month, 3, CASE WHEN finding IS NULL THEN 'nothing_urgent' WHEN streak >= 2 THEN 'fix_streak' ELSE 'fix' END, finding, CASE WHEN finding IS NULL THEN NULL WHEN streak >= 2 THEN streak ELSE k END FROM v LEFT JOIN (SELECT * FROM kf WHERE polarity = 'negative') x ON x.farm_id = v.farm_id AND x.visit_month = v.visit_month
       UNION ALL SELECT farm_id, visit_month, 5, 'not_understood', NULL, p FROM v WHERE p > 0)
       SELECT l.*, replace(replace(CASE template WHEN 'volume' THEN 'Messages this month: {{n}}' WHEN 'keep' THEN 'Keep: {{f}} ({{n}})' WHEN 'fix' THEN 'To improve: {{f}} ({{n}})' WHEN 'fix_streak' THEN 'Again, {{n}} months in a row: {{f}}' WHEN 'nothing_urgent' THEN 'Nothing urgent' ELSE 'Not understood: {{n}}' END, '{{n}}', coalesce(value::VARCHAR, '')), '{{f}}', coalesce(label_en, '')) AS text FROM l LEFT JOIN findings ON finding_id = finding""".replace("{{", "{").replace("}}", "}"),
-    "trend_matrix": f"WITH {_K} SELECT finding, " + ", ".join(f"coalesce(sum(k) FILTER (visit_month = '2026-0{i}'), 0)::BIGINT AS m{i}" for i in (1, 2, 3)) + " FROM k GROUP BY finding",
+    "trend_matrix": f"""WITH {_K}, o AS (SELECT DISTINCT visit_month FROM {_S} WHERE visit_month IS NOT NULL), n AS (SELECT visit_month, count(*) AS n FROM counted GROUP BY visit_month), f AS (SELECT DISTINCT finding FROM k)
+      SELECT f.finding, o.visit_month, coalesce((SELECT sum(k.k) FROM k WHERE k.finding = f.finding AND k.visit_month = o.visit_month), 0)::BIGINT AS k, coalesce(n.n, 0) AS n FROM f CROSS JOIN o LEFT JOIN n USING (visit_month)""",
     "coop_aggregate": _COOP,
     "coop_everywhere": f"SELECT finding, farms >= ceil(consenting * 0.75) AS everywhere FROM ({_COOP})",
-    "dup_exact_chained": f"SELECT message_id, coalesce(received_at - lag(received_at) OVER (PARTITION BY fingerprint ORDER BY received_at, message_id) <= INTERVAL 7 DAYS, false) AS duplicate FROM {_R} WHERE fingerprint IS NOT NULL AND received_at IS NOT NULL",
-    "dup_near_embeddings": f"""WITH m AS (SELECT message_id, farm_id, received_at AS t, embedding::DOUBLE[] AS e FROM {_R} WHERE embedding IS NOT NULL AND received_at IS NOT NULL AND farm_id IS NOT NULL)
-      SELECT DISTINCT a.message_id FROM m a JOIN m b ON a.farm_id = b.farm_id AND b.t < a.t AND b.t >= a.t - INTERVAL 7 DAYS AND round(list_dot_product(a.e, b.e), 6) >= {NEAR}""",
+    "dup_exact_chained": f"WITH {_M} SELECT DISTINCT a.message_id FROM m a JOIN m b ON a.fp = b.fp AND {_BEFORE} WHERE NOT a.old",
+    "dup_exact_leader": f"""WITH RECURSIVE {_M}, d AS (SELECT DISTINCT fp, t FROM m WHERE t IS NOT NULL AND fp IS NOT NULL), nx AS (SELECT d.fp, d.t, min(e.t) AS t2 FROM d JOIN d e ON e.fp = d.fp AND e.t > d.t + INTERVAL 7 DAYS GROUP BY ALL),
+      l AS (SELECT fp, min(t) AS t FROM d GROUP BY fp UNION ALL SELECT l.fp, nx.t2 FROM l JOIN nx ON nx.fp = l.fp AND nx.t = l.t),
+      r AS (SELECT m.*, row_number() OVER (PARTITION BY fp, t ORDER BY message_id) AS r, count(t) OVER (PARTITION BY fp) AS dated FROM m WHERE fp IS NOT NULL)
+      SELECT message_id, NOT (r = 1 AND (l.t IS NOT NULL OR dated = 0)) AS duplicate FROM r LEFT JOIN l USING (fp, t)""",
+    "dup_near_embeddings": f"""WITH {_M}, e AS (SELECT * FROM m WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0 AND list_dot_product(embedding, embedding) > 0)
+      SELECT DISTINCT a.message_id FROM e a JOIN e b ON {_BEFORE} AND round(list_cosine_similarity(a.embedding, b.embedding), 6) >= 0.98 WHERE NOT a.old""",
     "expire_columns": f"SELECT message_id, CASE WHEN received_at >= TIMESTAMP '2026-06-15' THEN fingerprint END AS fingerprint, CASE WHEN received_at >= TIMESTAMP '2026-06-15' THEN len(embedding) END AS dims FROM {_S}",
     "audio_gate": r"""SELECT clip_id, CASE WHEN duration_sec < 3 THEN 'too_short' WHEN transcript IS NULL OR trim(transcript) = '' THEN 'silence' WHEN NOT regexp_matches(transcript, '\p{L}') OR regexp_matches(transcript, '(?i)(subtitles? by|sous-titr|untertitel|subtitulos? por|thanks for watching|amara\.org)')
       OR trim(regexp_replace(transcript, '\[[^\]]*\]|\([^)]*\)|♪', '', 'g')) = '' THEN 'phantom' ELSE 'ok' END AS gate FROM (SELECT DISTINCT ON (clip_id) * FROM transcripts WHERE clip_id IS NOT NULL)""",

@@ -24,7 +24,7 @@ def word_counts(spark, d):
 
 
 def fingerprint_exact_groups(spark, d):
-    f = unique(table(spark, d, "messages_raw").select("message_id", "text"), "message_id").where("text IS NOT NULL").select(T.fingerprint(F.col("text")).alias("fp"))
+    f = unique(table(spark, d, "messages_raw").select("message_id", "text"), "message_id").where("text IS NOT NULL").select(T.fingerprint(F.col("text")).alias("fp")).where("fp IS NOT NULL")
     return f.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
@@ -235,7 +235,7 @@ _SENT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\
 ORACLE = {
     "fold_words": f"SELECT doc_id, CASE WHEN text IS NULL THEN -1 ELSE len({_words('text')}) END AS n_words, md5(coalesce(array_to_string({_words('text')}, ' '), '')) AS words_md5 FROM documents",
     "word_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) GROUP BY word",
-    "fingerprint_exact_groups": f"SELECT substr(sha256(array_to_string({_words('text')}, ' ')), 1, 28) AS fp, count(*) AS n FROM {_u('messages_raw', 'message_id')} WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "fingerprint_exact_groups": f"SELECT substr(sha256(array_to_string({_words('text')}, ' ')), 1, 28) AS fp, count(*) AS n FROM {_u('messages_raw', 'message_id')} WHERE len({_words('text')}) > 0 GROUP BY 1 HAVING count(*) > 1",
     "lang_guess_summary": f"""WITH s AS (SELECT lang, {_SCORES} FROM (SELECT lang, text, {_words('text')} AS w FROM documents WHERE text IS NOT NULL)),
       b AS (SELECT *, greatest(en, fr, de, es) AS best, en + fr + de + es AS total FROM s),
       g AS (SELECT coalesce(lang, 'none') AS declared, CASE WHEN best < 1 THEN 0.0 ELSE best / total END AS p, CASE WHEN en = best THEN 'en' WHEN fr = best THEN 'fr' WHEN de = best THEN 'de' ELSE 'es' END AS l, best FROM b)

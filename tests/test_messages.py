@@ -118,9 +118,13 @@ def test_near_duplicates(spark, tmp_path):
         ("a", "f", day(1), at(1.0)), ("b", "f", day(8), at(0.985)), ("c", "f", day(3), at(0.975)), ("d", "f", day(9), at(-1.0)), ("e", "g", day(2), at(1.0)),
         ("f", "f", day(20), at(1.0)), ("g", "f", day(21), at(0.4)), ("h", None, day(2), at(1.0)), ("i", "f", None, at(1.0)), ("j", "f", day(2), None),
     ]
-    spark.createDataFrame(rows, "message_id string, farm_id string, received_at timestamp, embedding array<double>").write.parquet(str(tmp_path / "messages_raw.parquet"))
-    # b repeats a (0.985, 7 days) and c (0.9993); c is only at 0.975 to a, g only at 0.4 to f
-    assert [r.message_id for r in Q.dup_near_embeddings(spark, str(tmp_path)).collect()] == ["b"]
+    wide = [(i, f, t, v and v + [0.0] * 62, None, None) for i, f, t, v in rows]
+    spark.createDataFrame(wide, "message_id string, farm_id string, received_at timestamp, embedding array<double>, fingerprint string, text string").write.parquet(str(tmp_path / "messages_raw.parquet"))
+    old = [("s", day(26), [0.4, 0.84**0.5] + [0.0] * 62, None)]
+    spark.createDataFrame(old, "message_id string, received_at timestamp, embedding array<double>, fingerprint string").write.parquet(str(tmp_path / "messages_stored.parquet"))
+    # b repeats a (0.985, 7 days) and c (0.9993); e and h repeat a whatever their farm, the undated i all of them; g repeats
+    # the stored s, which is 5 days younger; c is only at 0.975 to a
+    assert sorted(r.message_id for r in Q.dup_near_embeddings(spark, str(tmp_path)).collect()) == ["b", "e", "g", "h", "i"]
 
 
 def test_trends_cover_all_months(spark, tmp_path):
