@@ -18,8 +18,9 @@ from ..plans.cut import cut, spread
 from ..sources.tables import unique
 
 WINDOW_DAYS, NEAR, DIM = 7, 0.98, 64
-#: Sign segments of an embedding and their length: a pair at NEAR is missed with a probability below 1e-4.
-SEGMENTS, LENGTH = 12, 16
+#: Sign segments of an embedding and their length: a pair at NEAR is missed with a probability below 1e-4. Of 64 more signs a
+#: pair at NEAR differs in 4 on average, and in more than MAX_SIGNS with a probability below 1e-9.
+SEGMENTS, LENGTH, MAX_SIGNS = 12, 16, 20
 _DAY = 86_400_000_000
 
 
@@ -99,15 +100,18 @@ def leaders(all_messages: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _directions() -> np.ndarray:
-    return np.hstack([np.linalg.qr(np.random.default_rng(seed).standard_normal((DIM, DIM)))[0] for seed in range(31, 34)])
+    return np.hstack([np.linalg.qr(np.random.default_rng(seed).standard_normal((DIM, DIM)))[0] for seed in range(31, 35)])
 
 
-def _segments(vectors: pd.Series) -> pd.Series:
-    """Twelve segments of signs, and the same with their least certain sign turned."""
-    r = (np.stack(vectors.to_list()) @ _directions()).reshape(len(vectors), SEGMENTS, LENGTH)
+def _segments(vectors: pd.Series) -> pd.DataFrame:
+    """keys: twelve segments of signs, and the same with their least certain sign turned; signs: 64 more."""
+    all_ = np.stack(vectors.to_list()) @ _directions()
+    r = all_[:, : SEGMENTS * LENGTH].reshape(len(vectors), SEGMENTS, LENGTH)
     powers = 1 << np.arange(LENGTH)
     own, place = (r > 0) @ powers, np.arange(SEGMENTS) << LENGTH
-    return pd.Series(list(np.hstack([own | place, (own ^ powers[np.abs(r).argmin(2)]) | place]).astype(np.int32)))
+    keys = np.hstack([own | place, (own ^ powers[np.abs(r).argmin(2)]) | place]).astype(np.int32)
+    signs = ((all_[:, SEGMENTS * LENGTH :] > 0).astype(np.uint64) << np.arange(DIM, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
+    return pd.DataFrame({"keys": list(keys), "signs": signs})
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -125,10 +129,11 @@ def near(all_messages: DataFrame, days: int = WINDOW_DAYS, least: float = NEAR)
     m = all_messages.where((F.size("embedding") == DIM) & finite & F.exists("embedding", lambda v: v != 0)).withColumn("embedding", F.col("embedding").cast("array<double>"))
     m = cut(m.select("message_id", "old", "t", "embedding", F.xxhash64("embedding").alias("e"), F.hash("embedding").alias("e2")))
     vectors = cut(spread(m.groupBy("e", "e2").agg(F.first("embedding").alias("v"), F.bool_or(~F.col("old")).alias("new")), "e"))
-    coded = cut(vectors.withColumn("keys", F.pandas_udf(_segments, "array<int>")("v")))
-    index = coded.select(F.col("e").alias("f"), F.col("e2").alias("f2"), F.explode(F.slice("keys", 1, SEGMENTS)).alias("key"))
-    probe = coded.where("new").select("e", "e2", F.explode("keys").alias("key"))
-    pairs = probe.join(index, "key").where("e <> f OR e2 <> f2").select("e", "e2", "f", "f2").distinct()
+    coded = cut(vectors.select("e", "e2", "new", F.pandas_udf(_segments, "keys array<int>, signs long")("v").alias("s")).select("e", "e2", "new", "s.*"))
+    index = coded.select(F.col("e").alias("f"), F.col("e2").alias("f2"), F.explode(F.slice("keys", 1, SEGMENTS)).alias("key"), F.col("signs").alias("signs_f"))
+    probe = coded.where("new").select("e", "e2", F.explode("keys").alias("key"), "signs")
+    like = (F.bit_count(F.col("signs").bitwiseXOR(F.col("signs_f"))) <= MAX_SIGNS) & F.expr("e <> f OR e2 <> f2")
+    pairs = cut(probe.join(index, "key").where(like).select("e", "e2", "f", "f2").distinct())
     pairs = pairs.join(vectors.select("e", "e2", "v"), ["e", "e2"]).join(vectors.select(F.col("e").alias("f"), F.col("e2").alias("f2"), F.col("v").alias("u")), ["f", "f2"])
     pairs = pairs.where(F.round(cosine(F.col("v"), F.col("u")), 6) >= least).select("e", "e2", "f", "f2")
     name = lambda a, b: F.concat_ws(":", a, b)
