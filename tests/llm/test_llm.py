@@ -75,6 +75,26 @@ def test_full_cells_are_divided(spark, monkeypatch):
     assert sorted(len(g) for g in groups.values() if len(g) > 1) == [2, 2, 5, 5, 8, 8, 11, 11]
 
 
+def test_a_hot_cell_loses_no_row(spark, monkeypatch):
+    # a third of all rows are of one topic and nearly one direction: far more than a cell holds
+    monkeypatch.setattr(clusters, "CELL_ROWS", 40)
+    r = np.random.default_rng(7)
+    hot, wide = r.standard_normal(160), r.standard_normal(160)
+    vecs = [hot + 0.02 * r.standard_normal(160) for _ in range(200)] + [wide + 0.5 * r.standard_normal(160) for _ in range(200)] + [r.standard_normal(160) for _ in range(200)]
+    rows = [(f"c{i:03}", "m", None, "2026-01", "off_list", None, [float(x) for x in v], 1, "x") for i, v in enumerate(vecs)]
+    got = {}
+    for x in clusters.assign(clusters.candidates(spark.createDataFrame(rows, C))).collect():
+        got.setdefault(x.cluster, set()).add(int(x.id[1:]))
+    assert sorted((g for g in got.values() if len(g) > 1), key=min) == [set(range(200)), set(range(200, 400))]
+
+
+def test_blocks_of_a_cell_share_a_row(spark):
+    rows = [("p", 1, f"u{i:02}", 1.0, bytes([1] * 160)) for i in range(11)] + [("p", 2, "v", 1.0, bytes([1] * 160))]
+    placed = spark.createDataFrame(rows, "period string, cell long, unit string, w double, vec binary").coalesce(1)
+    seen = clusters._by_cell(placed, lambda name, unit, w, x: {"unit": [",".join(unit)]}, "unit string", 160, 4).collect()
+    assert sorted(r.unit for r in seen) == ["u00,u01,u02,u03", "u03,u04,u05,u06", "u06,u07,u08,u09", "u09,u10"]
+
+
 # ---------------------------------------------------------------- p2
 
 
