@@ -3,8 +3,9 @@
 A segment index for bounded edit distance. An embedding becomes a string of 192 symbols (signs of its coordinates under
 three fixed rotations), stored as 12 segments of 16 symbols under their position and week; a fingerprint is one segment of
 its own. A batch probes, for every segment, its own and the one with its least certain symbol substituted; candidates are
-verified first by the bounded edit distance of a second 64-symbol string and then by the exact cosine. A batch appends
-its own segments to the index, so history is read as an index and never compared with itself.
+verified first by the bounded edit distance of a second 64-symbol string and then by the exact cosine. The index is a
+Parquet folder by stretches of four weeks (``SegmentIndex``): a batch reads only the stretches its windows touch, whose
+strings are stored ready, and appends what it accepted, so history is never coded again nor compared with itself.
 
 At a cosine of just 0.98 one symbol differs with probability 0.064, a segment is met with probability 0.5 or more and a
 pair is missed with less than 1e-4 (at 0.99 with less than 1e-6); recall against brute force on the test tables is 1 (see the tests).
@@ -18,17 +19,21 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import uuid
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut, spread
+from ..plans.cut import cut, ensure_checkpoint_dir, spread
 from ..sources.tables import table, unique
 
 COSINE, WINDOW_DAYS, DIM = 0.98, 7, 64
+#: Days of one stretch of the index; a window touches two at most.
+STRETCH_DAYS = 28
 SEGMENTS, SEGMENT_LENGTH = 12, 16
 #: Differing symbols of the second string that are still verified: a pair at cosine 0.98 differs in 4 of 64 on average;
 #: more than 20 has a probability below 1e-9.
@@ -113,91 +118,138 @@ def within_window(a: Column, b: Column, days: int = WINDOW_DAYS) -> Column:
     return F.coalesce(gap, F.lit(True))
 
 
-def _week(t: Column, days: int) -> Column:
-    return F.floor(F.unix_micros(t) / F.lit(days * 86_400_000_000)).cast("int")
+def _stretch(micros: Column) -> Column:
+    return F.floor(micros / F.lit(STRETCH_DAYS * 86_400_000_000)).cast("int")
 
 
-def arrivals(stored: DataFrame, raw: DataFrame) -> DataFrame:
-    """message_id, batch (0: history), received_at, week, ord, fp, embedding, e: all that may be accepted, once each.
+def _touched(t: Column, days: int) -> Column:
+    """The stretches the window around a time touches; null without a time."""
+    span = F.lit(days * 86_400_000_000)
+    return F.when(t.isNotNull(), F.array_distinct(F.array(_stretch(F.unix_micros(t) - span), _stretch(F.unix_micros(t) + span))))
 
-    ``e`` names equal embeddings. Null batches come last; messages with neither fingerprint nor embedding repeat nothing.
-    """
-    cols = ["message_id", "batch", "received_at", "fp", "embedding"]
-    old = unique(stored, "message_id").where("status IN ('analyzed', 'not_sure')").withColumn("batch", F.lit(0)).withColumnRenamed("fingerprint", "fp")
-    new = unique(raw, "message_id").withColumn("batch", F.coalesce("batch_no", F.lit(2**31 - 1))).withColumn("fp", F.coalesce("fingerprint", fingerprint_of(F.col("text"))))
-    both = old.select(cols).unionByName(new.select(cols)).where("fp IS NOT NULL OR embedding IS NOT NULL")
+
+def _named(messages: DataFrame, days: int) -> DataFrame:
+    """message_id, batch, received_at, week (its stretch), near, ord, fp, embedding, e (the name of equal embeddings)."""
     name = F.unhex(F.concat(F.lpad(F.hex(F.xxhash64("embedding")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), "embedding")), 16, "0")))
-    both = both.withColumn("received_at", F.col("received_at").cast("timestamp"))
-    return both.withColumn("week", _week(F.col("received_at"), WINDOW_DAYS)).withColumn("e", F.when(F.size("embedding") == DIM, name)).withColumn(
-        "ord", F.struct("batch", F.col("received_at").isNull().alias("undated"), "received_at", "message_id")
-    )
+    m = messages.where("fp IS NOT NULL OR embedding IS NOT NULL").withColumn("received_at", F.col("received_at").cast("timestamp"))
+    return m.select(
+        "message_id", "batch", "received_at", _stretch(F.unix_micros("received_at")).alias("week"), _touched(F.col("received_at"), days).alias("near"),
+        F.struct("batch", F.col("received_at").isNull().alias("undated"), "received_at", "message_id").alias("ord"), "fp", "embedding", F.when(F.size("embedding") == DIM, name).alias("e"),
+    )
+
+
+def history_of(stored: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """The accepted stored messages, each once. Messages with neither fingerprint nor embedding repeat nothing and are left out."""
+    old = unique(stored, "message_id").where("status IN ('analyzed', 'not_sure')")
+    return _named(old.select("message_id", F.lit(0).alias("batch"), "received_at", F.col("fingerprint").alias("fp"), "embedding"), days)
+
+
+def batch_of(raw: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """Incoming messages, each once. Null batches come last."""
+    new = unique(raw, "message_id")
+    fp = F.coalesce("fingerprint", fingerprint_of(F.col("text")))
+    return _named(new.select("message_id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch"), "received_at", fp.alias("fp"), "embedding"), days)
+
+
+_VECTOR = ["e", "keys", "sig", "embedding"]
+
+
+def coded(messages: DataFrame) -> DataFrame:
+    """e, keys, sig, embedding of every different embedding."""
+    vectors = spread(messages.where("e IS NOT NULL").groupBy("e").agg(F.first("embedding").alias("embedding")), "e")
+    return vectors.select("e", "embedding", segment_keys(F.col("embedding")).alias("k")).select("e", "k.keys", "k.sig", "embedding")
+
+
+class SegmentIndex:
+    """Accepted messages on disk by stretch of time: who they are, and the coded strings of their embeddings."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def append(self, accepted: DataFrame, strings: DataFrame | None = None) -> None:
+        """Adds accepted messages (of ``history_of`` or ``batch_of``); ``strings`` are their coded embeddings where known."""
+        m = cut(accepted)
+        if m.isEmpty():
+            return
+        strings = coded(m) if strings is None else strings
+        m.drop("embedding", "near").write.partitionBy("week").mode("append").parquet(f"{self.folder}/messages")
+        places = m.where("e IS NOT NULL").select("e", "week").distinct()
+        strings.join(places, "e").write.partitionBy("week").mode("append").parquet(f"{self.folder}/strings")
+
+    def read(self, table_name: str, stretches: list[int] | None) -> DataFrame | None:
+        """One of the two tables, only the given stretches and what has no time; null where nothing was appended yet."""
+        try:
+            found = self.spark.read.parquet(f"{self.folder}/{table_name}")
+        except AnalysisException:
+            return None
+        found = found.withColumn("week", F.col("week").cast("int"))
+        return found if stretches is None else found.where(F.col("week").isin(stretches) | F.col("week").isNull())
 
 
 def weeks_of(messages: DataFrame) -> tuple[int, int]:
-    """First and last week of all rows: two numbers, so that undated rows can stand under each."""
+    """First and last stretch of all rows: two numbers, so that undated rows can stand under each."""
     r = messages.agg(F.min("week"), F.max("week")).first()
     return (r[0], r[1]) if r[0] is not None else (0, 0)
 
 
 def join_in_window(later: DataFrame, earlier: DataFrame, keys: list[str], weeks: tuple[int, int], condition: Column) -> DataFrame:
-    """Rows with equal keys whose weeks touch, in one equi-join; an undated side touches every week.
+    """Rows with equal keys whose stretches touch, in one equi-join; an undated side touches every one.
 
-    A pair may be found under several weeks; callers take distinct pairs.
+    A pair may be found under several stretches; callers take distinct pairs.
     """
     every = F.sequence(F.lit(weeks[0] - 1), F.lit(weeks[1] + 1))
-    near = F.when(F.col("week").isNull(), every).otherwise(F.array(F.col("week") - 1, F.col("week"), F.col("week") + 1))
+    probe = later.withColumn("week", F.explode(F.coalesce("near", every))).drop("near")
     stand = F.when(F.col("week").isNull(), every).otherwise(F.array(F.col("week")))
-    probe = later.withColumn("week", F.explode(near))
     return probe.join(earlier.withColumn("week", F.explode(stand)), [*keys, "week"]).where(condition).drop("week")
 
 
-def embedding_links(messages: DataFrame, weeks: tuple[int, int], cosine: float = COSINE) -> DataFrame:
-    """e, e_other: different embeddings of a batch and of anything near it in time whose cosine is at least ``cosine``; both ways."""
-    seen = messages.where("e IS NOT NULL").select("e", "week", "batch", "embedding")
-    vectors = cut(spread(seen.groupBy("e").agg(F.first("embedding").alias("embedding")), "e"))
-    places = seen.groupBy("e", "week").agg(F.max("batch").alias("batch"))
-    coded = cut(vectors.select("e", segment_keys(F.col("embedding")).alias("k")).select("e", "k.keys", "k.sig"))
-    index = coded.select("e", F.explode(F.slice("keys", 1, SEGMENTS)).alias("key"), F.col("sig").alias("sig_o"))
-    index = places.select("e", "week").join(index, "e").select(F.col("e").alias("e_other"), "week", "key", "sig_o")
-    probe = places.where("batch > 0").select("e", "week").join(coded, "e").select("e", "week", F.explode("keys").alias("key"), "sig")
-    near = (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_o"))) <= MAX_EDITS) & (F.col("e") != F.col("e_other"))
-    found = join_in_window(probe, index, ["key"], weeks, near).select("e", "e_other").distinct()
+def embedding_links(new: DataFrame, strings: DataFrame, places: DataFrame, weeks: tuple[int, int], cosine: float = COSINE) -> DataFrame:
+    """e, e_other: different embeddings of a batch and of anything near it in time whose cosine is at least ``cosine``; both ways.
+
+    strings: all coded embeddings; places: e, week of all of them.
+    """
+    index = strings.select("e", F.explode(F.slice("keys", 1, SEGMENTS)).alias("key"), F.col("sig").alias("sig_o"))
+    index = places.join(index, "e").select(F.col("e").alias("e_other"), "week", "key", "sig_o")
+    probe = new.where("e IS NOT NULL").select("e", "near").distinct().join(strings, "e").select("e", "near", F.explode("keys").alias("key"), "sig")
+    like = (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_o"))) <= MAX_EDITS) & (F.col("e") != F.col("e_other"))
+    found = join_in_window(probe, index, ["key"], weeks, like).select("e", "e_other").distinct()
+    vectors = strings.select("e", "embedding")
     exact = (
         found.join(vectors.withColumnRenamed("embedding", "v"), "e")
         .join(vectors.select(F.col("e").alias("e_other"), F.col("embedding").alias("v_other")), "e_other")
         .where(exact_cosine(F.col("v"), F.col("v_other")) >= F.lit(cosine)).select("e", "e_other")
-    )
+    )
     return exact.unionByName(exact.select(F.col("e_other").alias("e"), F.col("e").alias("e_other"))).distinct()
 
 
 def keyed(messages: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """message_id, ord, week, key, own: a message under its fingerprint and embedding, and under every near embedding (not own)."""
     names = F.array_compact(F.array(F.concat(F.lit("f"), "fp"), F.concat(F.lit("e"), F.hex("e"))))
-    own = messages.select("message_id", "ord", "week", F.explode(names).alias("key"), F.lit(True).alias("own"))
+    own = messages.select("message_id", "ord", "week", "near", F.explode(names).alias("key"), F.lit(True).alias("own"))
     if near is None:
         return own
-    other = messages.join(near, "e").select("message_id", "ord", "week", F.concat(F.lit("e"), F.hex("e_other")).alias("key"), F.lit(False).alias("own"))
+    other = messages.join(near, "e").select("message_id", "ord", "week", "near", F.concat(F.lit("e"), F.hex("e_other")).alias("key"), F.lit(False).alias("own"))
     return own.unionByName(other)
 
 
 def repeats(sees: DataFrame, accepted: DataFrame, weeks: tuple[int, int] | None, days: int) -> DataFrame:
     """later, earlier of messages (``sees``, by key) and accepted ones (by own key) that came before them, within the window."""
-    a = sees.select("key", "week", F.col("message_id").alias("later"), F.col("ord").alias("ord_l"))
+    a = sees.select("key", "near", F.col("message_id").alias("later"), F.col("ord").alias("ord_l"))
     b = accepted.select("key", "week", F.col("message_id").alias("earlier"), F.col("ord").alias("ord_e"))
     ok = (F.col("ord_e") < F.col("ord_l")) & within_window(F.col("ord_l.received_at"), F.col("ord_e.received_at"), days)
-    both = join_in_window(a, b, ["key"], weeks, ok) if weeks else a.drop("week").join(b.drop("week"), "key").where(ok)
+    both = join_in_window(a, b, ["key"], weeks, ok) if weeks else a.drop("near").join(b.drop("week"), "key").where(ok)
     return both.select("later", "earlier").distinct()
 
 
-def accept(messages: DataFrame, near: DataFrame, weeks: tuple[int, int], days: int = WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
+def accept(history: DataFrame, new: DataFrame, near: DataFrame, weeks: tuple[int, int], days: int = WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
     """Ids of the accepted batch messages, and the pairs later, earlier.
 
     In each round the first open message of its fingerprint, its embedding and all near ones is accepted, and what repeats
     it leaves; a message before which nothing linked is open cannot be a repeat any more. Copies are never compared with
     each other, only with accepted ones, of which a key has one a round.
     """
-    old = keyed(messages.where("batch = 0"))
-    sees = cut(keyed(messages.where("batch > 0"), near))
+    old = keyed(history)
+    sees = cut(keyed(new, near))
     old_pairs = cut(repeats(sees, old, weeks, days))
     open_ = sees.join(old_pairs.select(F.col("later").alias("message_id")).distinct(), "message_id", "left_anti")
     # what shares no key with another open message is accepted without a round
@@ -216,11 +268,38 @@ def accept(messages: DataFrame, near: DataFrame, weeks: tuple[int, int], days: i
     return fresh_all.select("message_id").distinct(), old_pairs.unionByName(repeats(sees, fresh_all, weeks, days)).distinct()
 
 
+def next_batch(index: SegmentIndex, raw: DataFrame, cosine: float = COSINE, days: int = WINDOW_DAYS, remember: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Ids of the accepted messages of a delivery (which may hold several batches), and the pairs later, earlier.
+
+    Reads the stretches of the index that the delivery's windows touch (all of them only where a message has no time) and
+    appends what is accepted. An empty index or delivery gives no pairs.
+    """
+    new = cut(batch_of(raw, days))
+    touched = new.agg(F.array_distinct(F.flatten(F.collect_set("near"))), F.count_if(F.col("near").isNull())).first()  # stretches, not rows
+    stretches = None if touched[1] else [int(x) for x in touched[0]]
+    fresh = cut(coded(new))
+    old, known = index.read("messages", stretches), index.read("strings", stretches)
+    seen = new.drop("embedding")
+    history = (seen.limit(0) if old is None else old.withColumn("near", F.lit(None).cast("array<int>")).select(seen.columns))
+    strings, places = fresh, new.where("e IS NOT NULL").select("e", "week")
+    if known is not None:
+        strings = cut(spread(strings.unionByName(known.select(_VECTOR)).dropDuplicates(["e"]), "e"))
+        places = places.unionByName(known.select("e", "week"))
+    weeks = weeks_of(seen.select("week").unionByName(history.select("week")))
+    near = cut(embedding_links(new, strings, places.distinct(), weeks, cosine))
+    ids, pairs = accept(history, seen, near, weeks, days)
+    if remember:
+        index.append(new.join(ids, "message_id", "left_semi"), fresh)
+    return ids, pairs
+
+
 def divide(stored: DataFrame, raw: DataFrame, cosine: float = COSINE, days: int = WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
-    messages = cut(arrivals(stored, raw))
-    weeks = weeks_of(messages)
-    near = cut(embedding_links(messages, weeks, cosine))
-    return accept(messages.drop("embedding"), near, weeks, days)
+    """All deliveries against the stored messages, through an index of their own beside the checkpoints."""
+    spark = raw.sparkSession
+    ensure_checkpoint_dir(spark)
+    index = SegmentIndex(spark, f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}")
+    index.append(history_of(stored, days))
+    return next_batch(index, raw, cosine, days, remember=False)
 
 
 def _tables(spark, d):

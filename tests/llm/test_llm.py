@@ -239,7 +239,7 @@ def test_sampling(spark):
 # ---------------------------------------------------------------- p5
 
 
-def test_arrivals_against_brute_force(spark):
+def test_arrivals_against_brute_force(spark, tmp_path):
     r = np.random.default_rng(3)
     base = r.standard_normal((30, 64))
     stored, raw = [], []
@@ -266,6 +266,32 @@ def test_arrivals_against_brute_force(spark):
             known.append((i, t, f, u))
     assert want and got == want
     assert arrivals.divide(s.limit(0), w.limit(0))[1].count() == 0
+    # batch after batch against the growing index gives the same
+    index = arrivals.SegmentIndex(spark, str(tmp_path / "index"))
+    index.append(arrivals.history_of(s))
+    step = set()
+    for k in (1, 2, 3):
+        step |= {(x.later, x.earlier) for x in arrivals.next_batch(index, w.where(f"batch_no = {k}"))[1].collect()}
+    assert step == want
+
+
+def test_a_batch_reads_only_what_its_windows_touch(spark, tmp_path):
+    v = [float(x) for x in np.random.default_rng(1).standard_normal(64)]
+    days = [dt.datetime(2025, 1, 1) + dt.timedelta(days=28 * k) for k in range(12)]
+    s = spark.createDataFrame([(f"a{k}", t, "analyzed", f"f{k}", v) for k, t in enumerate(days)], "message_id string, received_at timestamp, status string, fingerprint string, embedding array<float>")
+    index = arrivals.SegmentIndex(spark, str(tmp_path / "index"))
+    index.append(arrivals.history_of(s))
+    asked = []
+    read = index.read
+    index.read = lambda name, stretches: asked.append(stretches) or read(name, stretches)
+    w = "message_id string, batch_no int, received_at timestamp, fingerprint string, embedding array<float>, text string"
+    ids, pairs = arrivals.next_batch(index, spark.createDataFrame([("b", 1, days[-1] + dt.timedelta(days=3), None, v, "x"), ("c", 1, days[-1] + dt.timedelta(days=40), None, v, "y")], w))
+    assert {(x.later, x.earlier) for x in pairs.collect()} == {("b", "a11")} and [x.message_id for x in ids.collect()] == ["c"]
+    assert all(len(a) <= 3 for a in asked) and read("messages", asked[0]).count() < 3
+    assert "PartitionFilters: [(" in read("strings", asked[0])._jdf.queryExecution().toString()
+    # what was accepted is known to the next batch, and a message without a time looks everywhere
+    ids, pairs = arrivals.next_batch(index, spark.createDataFrame([("d", 2, None, None, v, "z")], w))
+    assert {x.earlier for x in pairs.collect()} == {"c", *(f"a{k}" for k in range(12))} and ids.count() == 0
 
 
 def test_fingerprint():
