@@ -151,13 +151,10 @@ def batch_of(raw: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     return _named(new.select("message_id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch"), "received_at", fp.alias("fp"), "embedding"), days)
 
 
-_VECTOR = ["e", "keys", "sig", "embedding"]
-
-
-def coded(messages: DataFrame) -> DataFrame:
-    """e, keys, sig, embedding of every different embedding."""
-    vectors = spread(messages.where("e IS NOT NULL").groupBy("e").agg(F.first("embedding").alias("embedding")), "e")
-    return vectors.select("e", "embedding", segment_keys(F.col("embedding")).alias("k")).select("e", "k.keys", "k.sig", "embedding")
+def coded(messages: DataFrame, *by: str) -> DataFrame:
+    """e, keys, sig, embedding (and ``by``) of every different embedding; copies are collapsed before they are coded."""
+    vectors = spread(messages.where("e IS NOT NULL").groupBy("e", *by).agg(F.first("embedding").alias("embedding")), "e")
+    return vectors.select("e", *by, "embedding", segment_keys(F.col("embedding")).alias("k")).select("e", *by, "k.keys", "k.sig", "embedding")
 
 
 class SegmentIndex:
@@ -166,15 +163,13 @@ class SegmentIndex:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def append(self, accepted: DataFrame, strings: DataFrame | None = None) -> None:
-        """Adds accepted messages (of ``history_of`` or ``batch_of``); ``strings`` are their coded embeddings where known."""
+    def append(self, accepted: DataFrame) -> None:
+        """Adds accepted messages (of ``history_of`` or ``batch_of``)."""
         m = cut(accepted)
         if m.isEmpty():
             return
-        strings = coded(m) if strings is None else strings
         m.drop("embedding", "near").write.partitionBy("week").mode("append").parquet(f"{self.folder}/messages")
-        places = m.where("e IS NOT NULL").select("e", "week").distinct()
-        strings.join(places, "e").write.partitionBy("week").mode("append").parquet(f"{self.folder}/strings")
+        coded(m, "week").write.partitionBy("week").mode("append").parquet(f"{self.folder}/strings")
 
     def read(self, table_name: str, stretches: list[int] | None) -> DataFrame | None:
         """One of the two tables, only the given stretches and what has no time; null where nothing was appended yet."""
@@ -203,19 +198,22 @@ def join_in_window(later: DataFrame, earlier: DataFrame, keys: list[str], weeks:
     return probe.join(earlier.withColumn("week", F.explode(stand)), [*keys, "week"]).where(condition).drop("week")
 
 
-def embedding_links(new: DataFrame, strings: DataFrame, places: DataFrame, weeks: tuple[int, int], cosine: float = COSINE) -> DataFrame:
+def embedding_links(new: DataFrame, fresh: DataFrame, known: DataFrame | None, weeks: tuple[int, int], cosine: float = COSINE) -> DataFrame:
     """e, e_other: different embeddings of a batch and of anything near it in time whose cosine is at least ``cosine``; both ways.
 
-    strings: all coded embeddings; places: e, week of all of them.
+    fresh: the coded embeddings of the batch; known: those of the index, each with its stretch.
     """
-    index = strings.select("e", F.explode(F.slice("keys", 1, SEGMENTS)).alias("key"), F.col("sig").alias("sig_o"))
-    index = places.join(index, "e").select(F.col("e").alias("e_other"), "week", "key", "sig_o")
-    probe = new.where("e IS NOT NULL").select("e", "near").distinct().join(strings, "e").select("e", "near", F.explode("keys").alias("key"), "sig")
+    codes_ = fresh.select("e", "keys", "sig")
+    index = codes_.join(new.where("e IS NOT NULL").select("e", "week").distinct(), "e").select("e", "week", "keys", "sig")
+    vectors = fresh.select("e", "embedding")
+    if known is not None:
+        index, vectors = index.unionByName(known.select("e", "week", "keys", "sig")), vectors.unionByName(known.select("e", "embedding"))
+    index = index.select(F.col("e").alias("e_other"), "week", F.explode(F.slice("keys", 1, SEGMENTS)).alias("key"), F.col("sig").alias("sig_o"))
+    probe = new.where("e IS NOT NULL").select("e", "near").distinct().join(codes_, "e").select("e", "near", F.explode("keys").alias("key"), "sig")
     like = (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_o"))) <= MAX_EDITS) & (F.col("e") != F.col("e_other"))
-    found = join_in_window(probe, index, ["key"], weeks, like).select("e", "e_other").distinct()
-    vectors = strings.select("e", "embedding")
+    found = cut(join_in_window(probe, index, ["key"], weeks, like).select("e", "e_other").distinct())
     exact = (
-        found.join(vectors.withColumnRenamed("embedding", "v"), "e")
+        found.join(fresh.select("e", F.col("embedding").alias("v")), "e")
         .join(vectors.select(F.col("e").alias("e_other"), F.col("embedding").alias("v_other")), "e_other")
         .where(exact_cosine(F.col("v"), F.col("v_other")) >= F.lit(cosine)).select("e", "e_other")
     )
@@ -281,15 +279,11 @@ def next_batch(index: SegmentIndex, raw: DataFrame, cosine: float = COSINE, days
     old, known = index.read("messages", stretches), index.read("strings", stretches)
     seen = new.drop("embedding")
     history = (seen.limit(0) if old is None else old.withColumn("near", F.lit(None).cast("array<int>")).select(seen.columns))
-    strings, places = fresh, new.where("e IS NOT NULL").select("e", "week")
-    if known is not None:
-        strings = cut(spread(strings.unionByName(known.select(_VECTOR)).dropDuplicates(["e"]), "e"))
-        places = places.unionByName(known.select("e", "week"))
     weeks = weeks_of(seen.select("week").unionByName(history.select("week")))
-    near = cut(embedding_links(new, strings, places.distinct(), weeks, cosine))
+    near = cut(embedding_links(new, fresh, known, weeks, cosine))
     ids, pairs = accept(history, seen, near, weeks, days)
     if remember:
-        index.append(new.join(ids, "message_id", "left_semi"), fresh)
+        index.append(new.join(ids, "message_id", "left_semi"))
     return ids, pairs
 
 
