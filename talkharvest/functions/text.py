@@ -15,24 +15,45 @@ LANGS = ("en", "fr", "de", "es")
 
 @lru_cache(maxsize=1)
 def plain_letters() -> tuple[str, str]:
-    """Every letter of the basic plane that is another one plus marks, and that other one: built from Unicode's own rule."""
+    """Every character of the basic plane that is another one plus marks or in another form, and that other one: by Unicode's compatibility rule."""
     src, dst = [], []
-    for cp in range(0xC0, 0xFFFF):
+    for cp in range(0xA0, 0xFFFF):
         c = chr(cp)
         if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
             continue
-        d = unicodedata.normalize("NFD", c)
-        base = [x for x in d if not unicodedata.category(x).startswith("M")]
-        if d != c and len(base) == 1:
+        base = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M")]
+        if len(base) == 1 and base[0] != c:
             src.append(c)
             dst.append(base[0])
     return "".join(src), "".join(dst)
 
 
+@lru_cache(maxsize=1)
+def compatible_letters() -> tuple[str, str]:
+    """Of these, the ones that are another form of a letter or digit and carry no mark (full-width, circled, raised)."""
+    pairs = [(s, d) for s, d in zip(*plain_letters()) if unicodedata.normalize("NFKC", s) == d and unicodedata.normalize("NFC", s) == s and d.isalnum()]
+    return "".join(s for s, _ in pairs), "".join(d for _, d in pairs)
+
+
+@lru_cache(maxsize=1)
+def joined_letters() -> dict[str, str]:
+    """Ligatures, vulgar fractions and digraphs: one character that stands for several letters or digits."""
+    found = {}
+    for cp in (*range(0xBC, 0xBF), *range(0x132, 0x134), *range(0x1C4, 0x1CD), *range(0xFB00, 0xFB07)):
+        parts = "".join(x for x in unicodedata.normalize("NFKD", chr(cp).lower()) if not unicodedata.category(x).startswith("M"))
+        if len(parts) > 1:
+            found[chr(cp).lower()] = parts
+    return found
+
+
 def fold(text: Column) -> Column:
-    """TXT1. Straight apostrophes, lower case, ss for ß, no accents. Null stays null."""
+    """TXT1. Straight apostrophes, lower case, ss for ß, compatible forms and letters without accents. Null stays null."""
     src, dst = plain_letters()
     low = F.regexp_replace(F.lower(F.regexp_replace(text, "[‘’ʼ´`]", "'")), "ß", "ss")
+    apart = low
+    for one, several in joined_letters().items():
+        apart = F.replace(apart, F.lit(one), F.lit(several))
+    low = F.when(low.rlike("[" + "".join(joined_letters()) + "]"), apart).otherwise(low)
     return F.regexp_replace(F.translate(low, src, dst), r"\p{M}", "")
 
 
@@ -42,8 +63,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """TXT8."""
-    return F.regexp_count(fold(text), F.lit(WORD))
+    """TXT8. Runs of letters and digits; an apostrophe inside makes two."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
 
 
 def padded(text: Column) -> Column:
@@ -72,6 +93,7 @@ STOP_WORDS = {
     "de": "der die das und ist war wir nicht ein eine mit auf fur von den dem zu uns sehr es".split(),
     "es": "el la los las y es una que no de en para con por nos muy fue se del al".split(),
 }
+# fixed values: letters that speak for a language, with the points they give
 HINTS = (("es", "[ñ¿¡]", 2.0), ("es", "[áíóú]", 1.0), ("de", "[äöüß]", 2.0), ("fr", "[àâçèêëîïôœù]", 1.5))
 
 
@@ -113,12 +135,19 @@ def by_language(lang: Column, patterns: dict[str, str], text: Column) -> Column:
 
 # fixed values of this project: words that negate, idioms that do not, and words for the guide
 NEGATION = {
-    "en": ["not", "no", "never", "nobody", "nothing", "none", "without", "neither", "nor", "isn't", "wasn't", "didn't", "don't", "couldn't", "can't", "won't"],
+    "en": ["not", "no", "never", "nobody", "nothing", "none", "without", "neither", "nor"],
     "fr": ["pas", "jamais", "rien", "personne", "aucun", "aucune", "sans", "ni"],
     "de": ["nicht", "kein*", "nie", "niemand", "nichts", "ohne"],
     "es": ["no", "nunca", "nada", "nadie", "ningun*", "sin", "tampoco"],
 }
-IDIOMS = ["no doubt", "not only", "no problem", "pas seulement", "sans doute", "nicht nur", "ohne zweifel", "no solo", "sin duda", "pas mal"]
+IDIOMS = {
+    "en": ["no doubt", "not only", "no problem"],
+    "fr": ["pas seulement", "sans doute", "pas mal"],
+    "de": ["nicht nur", "ohne zweifel"],
+    "es": ["no solo", "sin duda"],
+}
+#: Further cues: any contracted not, and "no longer" in French around its verb. ``_`` is the space between words.
+MORE_CUES = {"en": "_[^ ]+n't", "fr": "_ne(?:_[^ ]+){1,3}_plus"}
 UNCERTAIN = ["not sure", "not really", "pas vraiment", "pas sur", "nicht wirklich", "nicht sicher", "no estoy seguro", "no mucho", "hardly", "kaum", "apenas", "a peine"]
 GUIDE = {
     "en": ["guide*", "host", "hosts"],
@@ -129,16 +158,22 @@ GUIDE = {
 
 
 def negation(text: Column, lang: Column) -> Column:
+    """``negation_in`` of a raw text; where many texts are read, make ``padded`` a column of its own first."""
+    return negation_in(padded(text), lang)
+
+
+def negation_in(t: Column, lang: Column) -> Column:
     """TXT11. struct<negated, uncertain, cues>: idioms leave first, then uncertain phrases, then cues are counted.
 
     Two cues or more are uncertain, except in French and Spanish, where they agree with each other.
     """
-    clean = F.regexp_replace(padded(text), term_pattern(IDIOMS), "")
+    per = lambda of, every: F.coalesce(*[F.when(lang == c, of(c)) for c in LANGS], every)
+    clean = per(lambda c: F.regexp_replace(t, term_pattern(IDIOMS[c]), ""), F.regexp_replace(t, term_pattern(sum(IDIOMS.values(), [])), ""))
     unsure = F.regexp_count(clean, F.lit(term_pattern(UNCERTAIN))) > 0
     rest = F.regexp_replace(clean, term_pattern(UNCERTAIN), "")
-    cues = F.regexp_count(rest, F.lit(term_pattern(sum(NEGATION.values(), []))))
-    for code in LANGS:
-        cues = F.when(lang == code, F.regexp_count(rest, F.lit(term_pattern(NEGATION[code])))).otherwise(cues)
+    count = lambda p: F.regexp_count(rest, F.lit(p))
+    more = lambda c: count(MORE_CUES[c].replace("_", " ") + "(?= )") if c in MORE_CUES else F.lit(0)
+    cues = per(lambda c: count(term_pattern(NEGATION[c])) + more(c), count(term_pattern(sum(NEGATION.values(), []))) + sum((more(c) for c in MORE_CUES), F.lit(0)))
     double = (cues >= 2) & ~F.coalesce(lang.isin("fr", "es"), F.lit(False))
     return F.struct((unsure | (cues > 0)).alias("negated"), (unsure | double).alias("uncertain"), cues.alias("cues"))
 
@@ -150,10 +185,13 @@ def mentions_guide(text: Column, lang: Column) -> Column:
 
 
 def is_phantom(text: Column) -> Column:
-    """TXT13. No letters at all, subtitle credits, or nothing but bracketed tags."""
-    credits = r"(?i)(subtitles? by|sous-titr|untertitel|subtitulos? por|thanks for watching|amara\.org)"
+    """TXT13. Neither letters nor digits, subtitle credits, or nothing but bracketed tags."""
     only_tags = F.trim(F.regexp_replace(text, r"\[[^\]]*\]|\([^)]*\)|♪", "")) == ""
-    return ~text.rlike(r"\p{L}") | text.rlike(credits) | only_tags
+    return ~text.rlike(r"[\p{L}\p{N}]") | text.rlike("(?i)" + CREDITS) | only_tags
+
+
+# fixed values of this project: how subtitles name their makers
+CREDITS = r"(subtitles? by|sous-titr(?:es|age) |untertitel(?:ung)? (?:von|der|im auftrag)|subt[ií]tulos? (?:por|de la comunidad)|thanks for watching|amara\.org)"
 
 
 def fingerprint(text: Column) -> Column:
@@ -163,14 +201,14 @@ def fingerprint(text: Column) -> Column:
 
 
 def wer_normalised(text: Column) -> Column:
-    """TXT17. Lower case, bracketed text dropped, punctuation to spaces, accents kept."""
-    t = F.regexp_replace(F.lower(text), r"\[[^\]]*\]|\([^)]*\)|<[^>]*>", " ")
+    """TXT17. Compatible forms, lower case, bracketed text dropped, punctuation to spaces, accents kept."""
+    t = F.regexp_replace(F.lower(F.translate(text, *compatible_letters())), r"\[[^\]]*\]|\([^)]*\)|<[^>]*>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}\p{M}']", " "), " +", " "))
 
 
 # fixed values: the GSM 7-bit default alphabet and its extension table
 GSM_BASIC = "@£$¥èéùìòÇ\nØø\rÅåΔ_ΦΓΛΩΠΨΣΘΞÆæßÉ !\"#¤%&'()*+,-./0123456789:;<=>?¡ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÑÜ§¿abcdefghijklmnopqrstuvwxyzäöñüà"
-GSM_EXTENDED = "^{}\\[~]|€"
+GSM_EXTENDED = "\f^{}\\[~]|€"
 
 
 def _cls(chars: str) -> str:
@@ -219,19 +257,11 @@ def fill_slots(template: Column, slots: dict[str, Column]) -> Column:
 def sentences(text: Column) -> Column:
     """TXT5. Pieces after end marks and white space, or line breaks; decimals and known abbreviations do not end one."""
     t = F.regexp_replace(text, "\r\n?", "\n")
-    t = F.regexp_replace(t, ABBREVIATIONS, "$1\u0003")
+    t = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\p{{N}}])({ABBREVIATIONS})\.(?-i)(?=\s+\p{{Ll}}|\s+\d|\s*\p{{L}}\.)", "$1\u0003")
     t = F.regexp_replace(t, r"([.!?…;]+[\"»”)]*)[ \t\u00a0]+", "$1\u0002")
     parts = F.split(F.regexp_replace(t, "\u0003", "."), "[\u0002\n]+")
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.rlike(r"[\p{L}\p{N}]"))
 
 
-# fixed values of this project: abbreviations that do not end a sentence
-ABBREVIATIONS = r"(?i)\b(Mr|Mrs|Dr|St|Sta|Sra|Sr|no|nr|núm|etc|env|approx|aprox|incl|vs|cf|ca|usw|bzw|e\.g|i\.e|z\. B|d\. h|p\. ex|p\. ej)\."
-
-
-def clauses(sentence: Column) -> Column:
-    """TXT6, the steps without look-ahead: spaced dashes and colons, a leading subordinator up to its comma, adversatives."""
-    t = F.regexp_replace(sentence, r"\s+[-–—]\s+|:\s+", "\u0002")
-    t = F.regexp_replace(t, r"(?i)^((?:although|because|when|if|while|bien que|parce que|quand|si|weil|obwohl|wenn|aunque|porque|cuando)\b[^,\u0002]*),\s*", "$1\u0002")
-    t = F.regexp_replace(t, r"(?i),?\s+(?=(?:but|however|mais|cependant|aber|jedoch|pero|sin embargo)\b)", "\u0002")
-    return F.filter(F.transform(F.split(t, "\u0002"), lambda p: F.regexp_replace(p, r"^[\s,;:.!?…-]+|[\s,;:.!?…-]+$", "")), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+# fixed values of this project: abbreviations that do not end a sentence before a small letter, a digit or an initial
+ABBREVIATIONS = r"Mr|Mrs|Ms|Mme|Mlle|Dr|St|Sta|Sra|Srta|Sr|Uds?|no|nr|núm|etc|env|approx|aprox|incl|vs|cf|ca|evtl|usw|bzw|u\.a|e\.g|i\.e|z\.B|z\. B|d\. h|p\. ex|p\.ej|p\. ej"

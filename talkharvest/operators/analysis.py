@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import pii
+from ..functions import pii, sequences
 from ..functions import text as T
 from ..functions.embedding import EmbedFn, embed, hashing
 from ..functions.vectors import dot
@@ -27,8 +27,8 @@ def analysed(messages: DataFrame, examples: DataFrame, floor: float = 0.15, acce
     """
     g = gate(messages.select("message_id", "text", "lang"))
     ok = pii.scrubbed(g.where("status IS NULL").select("message_id", "text", "lang")).select("message_id", "lang", "clean")
-    c = ok.select("message_id", "lang", F.posexplode(T.sentences(F.col("clean"))).alias("s", "sentence")).select("message_id", "lang", "s", F.posexplode(T.clauses(F.col("sentence"))).alias("c", "clause"))
-    c = c.withColumn("n", T.negation(F.col("clause"), F.col("lang")))
+    c = ok.select("message_id", "lang", F.posexplode(T.sentences(F.col("clean"))).alias("s", "sentence")).select("message_id", "lang", "s", F.posexplode(sequences.clauses()("sentence", "lang")).alias("c", "clause"))
+    c = c.withColumn("t", T.padded(F.col("clause"))).withColumn("n", T.negation_in(F.col("t"), F.col("lang"))).drop("t")
     e = embed(c, "clause", fn)
     x = F.broadcast(examples.select("finding", F.col("negated").alias("x_neg"), F.col("embedding").alias("x")))
     sim = e.join(x).withColumn("sim", dot(F.col("embedding"), F.col("x")))  # every clause against the fixed catalogue

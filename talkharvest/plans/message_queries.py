@@ -312,7 +312,7 @@ ORACLE = {
     "dup_near_embeddings": f"""WITH {_M}, e AS (SELECT * FROM m WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0 AND list_dot_product(embedding, embedding) > 0)
       SELECT DISTINCT a.message_id FROM e a JOIN e b ON {_BEFORE} AND round(list_cosine_similarity(a.embedding, b.embedding), 6) >= 0.98 WHERE NOT a.old""",
     "expire_columns": f"SELECT message_id, CASE WHEN received_at >= TIMESTAMP '2026-06-15' THEN fingerprint END AS fingerprint, CASE WHEN received_at >= TIMESTAMP '2026-06-15' THEN len(embedding) END AS dims FROM {_S}",
-    "audio_gate": r"""SELECT clip_id, CASE WHEN duration_sec < 3 THEN 'too_short' WHEN transcript IS NULL OR trim(transcript) = '' THEN 'silence' WHEN NOT regexp_matches(transcript, '\p{L}') OR regexp_matches(transcript, '(?i)(subtitles? by|sous-titr|untertitel|subtitulos? por|thanks for watching|amara\.org)')
+    "audio_gate": r"""SELECT clip_id, CASE WHEN duration_sec < 3 THEN 'too_short' WHEN transcript IS NULL OR trim(transcript) = '' THEN 'silence' WHEN NOT regexp_matches(transcript, '[\p{L}\p{N}]') OR regexp_matches(transcript, '(?i)""" + T.CREDITS + r"""')
       OR trim(regexp_replace(transcript, '\[[^\]]*\]|\([^)]*\)|♪', '', 'g')) = '' THEN 'phantom' ELSE 'ok' END AS gate FROM (SELECT DISTINCT ON (clip_id) * FROM transcripts WHERE clip_id IS NOT NULL)""",
     "message_doubt": f"""SELECT message_id, reason, CASE WHEN reason IS NULL THEN coalesce(len(findings), -1) ELSE 0 END AS counted FROM (SELECT *, CASE WHEN lang IS NULL OR lower(lang) IN ('und', 'unknown') THEN 'low_language_probability' WHEN lower(substr(trim(lang), 1, 2)) NOT IN ('en', 'fr', 'de', 'es') THEN 'unsupported_language' END AS reason FROM {_S})""",
     "review_projection": f"SELECT chunk_id, c.message_id, c.status, len(s.findings) = 0 AS whole_message FROM {_C} c JOIN {_S} s ON s.message_id = c.message_id AND s.status NOT IN ('duplicate', 'inaudible') WHERE c.status IN ('not_sure', 'off_list')",

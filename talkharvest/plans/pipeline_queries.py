@@ -102,7 +102,7 @@ _FEED = _u("feedback", "id")
 ORACLE = {
     "recap_maps": f"WITH {_K} SELECT farm_id, visit_month, count(*)::INT AS findings, max(k) AS most FROM k GROUP BY ALL",
     "derived_flags": f"""SELECT id, coalesce(list_contains(k, 'off_list'), false) AS off_list, coalesce(list_contains(k, 'negated'), false) AS cancels, multi, CASE WHEN n <= 3 THEN 'very_short' WHEN n <= 8 THEN 'short' WHEN n >= 40 THEN 'long' ELSE 'medium' END AS length_class
-      FROM (SELECT id, list_transform(chunks, lambda c: c.kind) AS k, len(list_distinct(expected_findings)) > 1 AS multi, len({_words('text')}) AS n FROM {_FEED} WHERE text IS NOT NULL)""",
+      FROM (SELECT id, list_transform(chunks, lambda c: c.kind) AS k, len(list_distinct(expected_findings)) > 1 AS multi, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS n FROM {_FEED} WHERE text IS NOT NULL)""",
     "span_faults": f"SELECT coalesce(contains(text, c.span), false) AS exact, count(*) AS spans FROM (SELECT text, unnest(chunks) AS c FROM {_FEED}) GROUP BY 1",
     "shared_passages": f"SELECT id FROM {_FEED} WHERE text IS NOT NULL AND array_to_string({_words('text')}, ' ') IN (SELECT array_to_string({_words('text')}, ' ') FROM {_u('messages_raw', 'message_id')} WHERE text IS NOT NULL)",
     "span_overlap": f"""WITH s AS (SELECT id, unnest(chunks) AS c, unnest(range(len(chunks)))::INT AS i FROM {_FEED}), w AS (SELECT id, i, unnest({_words('c.span')}) AS word FROM s WHERE c.span IS NOT NULL), n AS (SELECT id, i, word, count(*) AS k FROM w GROUP BY ALL), t AS (SELECT id, i, sum(k) AS n FROM n GROUP BY ALL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import pii, sequences
@@ -38,7 +40,8 @@ def lang_guess_summary(spark, d):
 def negation_flags(spark, d):
     rows = unique(table(spark, d, "feedback").select("id", "text", "lang"), "id").where("text IS NOT NULL")
     lang = F.lower(F.substring(F.trim("lang"), 1, 2))
-    return rows.select("id", T.negation(F.col("text"), lang).alias("x")).select("id", "x.negated", "x.uncertain", "x.cues")
+    rows = rows.select("id", T.padded(F.col("text")).alias("t"), lang.alias("l"))
+    return rows.select("id", T.negation_in(F.col("t"), F.col("l")).alias("x")).select("id", "x.negated", "x.uncertain", "x.cues")
 
 
 def guide_mentions(spark, d):
@@ -73,11 +76,11 @@ def sentences_exploded(spark, d):
 
 
 def clauses_exploded(spark, d):
-    """TXT6/TXT7: every clause under its sentence; coordinators are decided by a scan from left to right."""
-    s = sentences_exploded(spark, d)
-    split = sequences.coordinated()
-    out = s.select("chunk_id", "sentence_index", F.explode(T.clauses(F.col("sentence"))).alias("piece")).select("chunk_id", "sentence_index", F.explode(split("piece")).alias("clause"))
-    return out.groupBy("chunk_id", "sentence_index").agg(F.count(F.lit(1)).alias("clauses"))
+    """TXT6/TXT7: every clause with its place in its sentence, in the language of its message."""
+    rows = unique(table(spark, d, "review_chunks").select("chunk_id", "message_id", "text"), "chunk_id").where("text IS NOT NULL")
+    langs = unique(table(spark, d, "messages_stored").select("message_id", "lang"), "message_id")
+    s = rows.join(langs, "message_id", "left").select("chunk_id", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("lang"), F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "sentence"))
+    return s.select("chunk_id", "sentence_index", F.posexplode(sequences.clauses()("sentence", "lang")).alias("clause_index", "clause"))
 
 
 def length_classes(spark, d):
@@ -191,8 +194,15 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# other forms of characters, which strip_accents leaves as they are
+_FORMS = ["".join(x) for x in zip(*((s, d) for s, d in zip(*T.plain_letters()) if unicodedata.normalize("NFD", s) == s))]
+
+
 def _fold(c: str) -> str:
-    return f"regexp_replace(strip_accents(replace(lower(regexp_replace({c}, '[‘’ʼ´`]', '''', 'g')), 'ß', 'ss')), '\\p{{M}}', '', 'g')"
+    low = f"replace(lower(regexp_replace({c}, '[‘’ʼ´`]', '''', 'g')), 'ß', 'ss')"
+    for one, several in T.joined_letters().items():
+        low = f"replace({low}, '{one}', '{several}')"
+    return f"regexp_replace(strip_accents(translate({low}, {_q(_FORMS[0])}, {_q(_FORMS[1])})), '\\p{{M}}', '', 'g')"
 
 
 def _words(c: str) -> str:
@@ -230,8 +240,15 @@ _SCORES = ", ".join(
     + "".join(f"+ CASE WHEN regexp_matches(lower(text), {_q(p)}) THEN {s} ELSE 0.0 END " for h, p, s in T.HINTS if h == c) + f"+ 0.0 AS {c}"
     for c in T.LANGS
 )
-_NEG = " ".join(f"WHEN lang = '{c}' THEN {_count('r', _terms(T.NEGATION[c]))}" for c in T.LANGS)
-_SENT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), """ + _q(T.ABBREVIATIONS.replace("(?i)", "(?i)")) + r""", '\1' || chr(3), 'g'), '([.!?…;]+["»”)]*)[ \t\x{00a0}]+', '\1' || chr(2), 'g'), chr(3), '.', 'g')"""
+_more = lambda c: " + " + _count("r", _q(T.MORE_CUES[c].replace("(?:_[^ ]+)", "(?:  [^ ]+)").replace("_plus", "  plus").replace("_", " ") + " ")) if c in T.MORE_CUES else ""
+_NEG = " ".join(f"WHEN lang = '{c}' THEN {_count('r', _terms(T.NEGATION[c]))}{_more(c)}" for c in T.LANGS)
+_IDIOM = " ".join(f"WHEN lang = '{c}' THEN regexp_replace(t, {_terms(T.IDIOMS[c])}, ' ', 'g')" for c in T.LANGS)
+# an abbreviation is kept with what follows it; twice, as one may follow another
+_KEPT = _q(rf"(^|[^\p{{L}}\p{{N}}])((?i:{T.ABBREVIATIONS}))\.(\s+\p{{Ll}}|\s+\d|\s*\p{{L}}\.)")
+_SENT = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
+for _ in range(2):
+    _SENT = rf"regexp_replace({_SENT}, {_KEPT}, '\1\2' || chr(3) || '\3', 'g')"
+_SENT = rf"""regexp_replace(regexp_replace({_SENT}, '([.!?…;]+["»”)]*)[ \t\x{{00a0}}]+', '\1' || chr(2), 'g'), chr(3), '.', 'g')"""
 ORACLE = {
     "fold_words": f"SELECT doc_id, CASE WHEN text IS NULL THEN -1 ELSE len({_words('text')}) END AS n_words, md5(coalesce(array_to_string({_words('text')}, ' '), '')) AS words_md5 FROM documents",
     "word_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) GROUP BY word",
@@ -240,18 +257,19 @@ ORACLE = {
       b AS (SELECT *, greatest(en, fr, de, es) AS best, en + fr + de + es AS total FROM s),
       g AS (SELECT coalesce(lang, 'none') AS declared, CASE WHEN best < 1 THEN 0.0 ELSE best / total END AS p, CASE WHEN en = best THEN 'en' WHEN fr = best THEN 'fr' WHEN de = best THEN 'de' ELSE 'es' END AS l, best FROM b)
       SELECT declared, CASE WHEN best < 1 OR p < 0.5 THEN 'unknown' ELSE l END AS guess, count(*) AS n, round(avg(p), 6) AS mean_p FROM g GROUP BY 1, 2""",
-    "negation_flags": f"""WITH a AS (SELECT id, lower(substr(trim(lang), 1, 2)) AS lang, regexp_replace({_spaced('text')}, {_terms(T.IDIOMS)}, ' ', 'g') AS c FROM {_u('feedback', 'id')} WHERE text IS NOT NULL),
+    "negation_flags": f"""WITH z AS (SELECT id, lower(substr(trim(lang), 1, 2)) AS lang, {_spaced('text')} AS t FROM {_u('feedback', 'id')} WHERE text IS NOT NULL),
+      a AS (SELECT id, lang, CASE {_IDIOM} ELSE regexp_replace(t, {_terms(sum(T.IDIOMS.values(), []))}, ' ', 'g') END AS c FROM z),
       b AS (SELECT id, lang, {_count('c', _terms(T.UNCERTAIN))} > 0 AS unsure, regexp_replace(c, {_terms(T.UNCERTAIN)}, ' ', 'g') AS r FROM a),
-      n AS (SELECT id, lang, unsure, CASE {_NEG} ELSE {_count('r', _terms(sum(T.NEGATION.values(), [])))} END AS cues FROM b)
+      n AS (SELECT id, lang, unsure, CASE {_NEG} ELSE {_count('r', _terms(sum(T.NEGATION.values(), [])))}{''.join(map(_more, T.MORE_CUES))} END AS cues FROM b)
       SELECT id, unsure OR cues > 0 AS negated, unsure OR (cues >= 2 AND NOT coalesce(lang IN ('fr', 'es'), false)) AS uncertain, cues FROM n""",
     "guide_mentions": f"""SELECT id, CASE lower(substr(trim(lang), 1, 2)) {' '.join(f"WHEN '{c}' THEN regexp_matches({_spaced('text')}, {_terms(T.GUIDE[c] + (T.GUIDE['en'] if c != 'en' else []))})" for c in T.LANGS)}
       ELSE regexp_matches({_spaced('text')}, {_terms(sum(T.GUIDE.values(), []))}) END AS guide FROM {_u('feedback', 'id')} WHERE text IS NOT NULL""",
-    "phantom_filter": rf"""SELECT clip_id, NOT regexp_matches(transcript, '\p{{L}}') OR regexp_matches(transcript, '(?i)(subtitles? by|sous-titr|untertitel|subtitulos? por|thanks for watching|amara\.org)')
+    "phantom_filter": rf"""SELECT clip_id, NOT regexp_matches(transcript, '[\p{{L}}\p{{N}}]') OR regexp_matches(transcript, {_q("(?i)" + T.CREDITS)})
       OR trim(regexp_replace(transcript, '\[[^\]]*\]|\([^)]*\)|♪', '', 'g')) = '' AS phantom FROM {_u('transcripts', 'clip_id')} WHERE transcript IS NOT NULL""",
     "sentences_exploded": f"""WITH s AS (SELECT chunk_id, list_filter(list_transform(regexp_split_to_array({_SENT}, '[' || chr(2) || chr(10) || ']+'), lambda p: trim(p)), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}]')) AS l FROM {_u('review_chunks', 'chunk_id')} WHERE text IS NOT NULL)
       SELECT chunk_id, unnest(range(len(l)))::INT AS sentence_index, unnest(l) AS sentence FROM s""",
-    "length_classes": f"""SELECT CASE WHEN n <= 3 THEN 'very_short' WHEN n <= 8 THEN 'short' WHEN n >= 40 THEN 'long' ELSE 'medium' END AS length_class, count(*) AS n FROM (SELECT len({_words('text')}) AS n FROM {_u('feedback', 'id')} WHERE text IS NOT NULL) GROUP BY 1""",
-    "wer_normalise": rf"""SELECT clip_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(transcript), '\[[^\]]*\]|\([^)]*\)|<[^>]*>', ' ', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}'']', ' ', 'g'), ' +', ' ', 'g'))) AS norm_md5 FROM {_u('transcripts', 'clip_id')} WHERE transcript IS NOT NULL""",
+    "length_classes": f"""SELECT CASE WHEN n <= 3 THEN 'very_short' WHEN n <= 8 THEN 'short' WHEN n >= 40 THEN 'long' ELSE 'medium' END AS length_class, count(*) AS n FROM (SELECT len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS n FROM {_u('feedback', 'id')} WHERE text IS NOT NULL) GROUP BY 1""",
+    "wer_normalise": rf"""SELECT clip_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(translate(transcript, {_q(T.compatible_letters()[0])}, {_q(T.compatible_letters()[1])})), '\[[^\]]*\]|\([^)]*\)|<[^>]*>', ' ', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}'']', ' ', 'g'), ' +', ' ', 'g'))) AS norm_md5 FROM {_u('transcripts', 'clip_id')} WHERE transcript IS NOT NULL""",
     "gsm7_length": f"""SELECT id, length(translate(text, {_q(T.GSM_BASIC + T.GSM_EXTENDED)}, '')) = 0 AS gsm7, (length(text) * 2 - length(translate(text, {_q(T.GSM_EXTENDED)}, '')))::INT AS septets, true AS sendable FROM {_u('feedback', 'id')} WHERE text IS NOT NULL""",
     "share_intake": f"""SELECT source, count(*) AS queued FROM {_u('messages_raw', 'message_id')} WHERE text IS NOT NULL AND NOT regexp_matches(text, '^https?://\\S+$') GROUP BY source""",
     "pii_emails": f"SELECT chunk_id, len(regexp_extract_all(text, {_q(pii.EMAIL)})) AS emails FROM {_u('review_chunks', 'chunk_id')} WHERE len(regexp_extract_all(text, {_q(pii.EMAIL)})) > 0",

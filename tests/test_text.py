@@ -52,9 +52,41 @@ def test_negation(spark):
     assert neg("it was not really good", "en").uncertain
 
 
+def test_forms_and_ends(spark):
+    def one(f, t):
+        return spark.createDataFrame([(t,)], "t string").select(f(F.col("t")).alias("x")).first().x
+
+    assert one(T.words, "Ｆｕｌｌ ﬁne ½ ①² ĳs École") == ["full", "fine", "1", "2", "12", "ijs", "ecole"]
+    assert one(T.word_count, "l'eau d'ici isn't") == 6 and one(T.word_count, "") == 0
+    assert one(T.sentences, "He said no. We left.") == ["He said no.", "We left."]
+    assert one(T.sentences, "Table no. 14 was ours. Then dr. weber came, approx. two of us. Dr. A.B. too.") == ["Table no. 14 was ours.", "Then dr. weber came, approx. two of us.", "Dr. A.B. too."]
+    assert not one(T.is_phantom, "112") and one(T.is_phantom, "Subtítulos por la comunidad") and not one(T.is_phantom, "Die Untertitel fehlten") and one(T.is_phantom, "?! …")
+    assert one(T.fingerprint, "?!") is None and one(T.gsm7_length, "a\f") == 3 and one(T.wer_normalised, "Ｆｕｌｌ É") == "full é"
+
+
+def test_contracted_and_split_negation(spark):
+    def cues(t, lang):
+        return spark.createDataFrame([(t, lang)], "t string, l string").select(T.negation(F.col("t"), F.col("l")).alias("n")).first().n
+
+    assert cues("they shouldn't wait", "en").cues == 1 and cues("nous ne reviendrons plus", "fr").cues == 1 and cues("il y a plus de café", "fr").cues == 0
+    # idioms count in their own language only
+    assert not cues("sans doute", "fr").negated and cues("sans doute", "de").cues == 0 and cues("no doubt", "es").negated
+
+
 def test_sequences():
-    assert sequences.split_coordinated("we ate the stew and we drank the coffee") == ["we ate the stew", "we drank the coffee"]
-    assert sequences.split_coordinated("bread and butter") == ["bread and butter"]
+    c = sequences.clauses_of
+    assert c("we ate the stew and we drank the coffee", "en") == ["we ate the stew", "we drank the coffee"]
+    assert c("bread and butter", "en") == ["bread and butter"]
+    assert c("it rained, and we left", "en") == ["it rained", "we left"] and c("it rained and we left", "en") == ["it rained and we left"]
+    # what was joined counts with its connector towards the next mark
+    assert c("tea and milk and we drank it all", "en") == ["tea and milk", "we drank it all"]
+    assert c("Although the road was long, we liked it but the bus was late.", "en") == ["the road was long", "we liked it", "the bus was late."]
+    assert c("nice farm – bad road", "en") == ["nice farm", "bad road"] and c("the guide : a good one", "en") == ["the guide", "a good one"]
+    assert c("we left because it rained", "en") == ["we left because it rained"] and c("we left because it rained", "en", causal=True) == ["we left", "it rained"]
+    assert c("la ferme est belle, on a bien mangé ici", "fr", comma_words=3) == ["la ferme est belle", "on a bien mangé ici"] and len(c("la ferme est belle, on a bien mangé ici", "fr")) == 1
+    assert c("Der Weg war steil aber das Essen war gut", "de") == ["Der Weg war steil", "das Essen war gut"] and c("the butter was button", "en") == ["the butter was button"]
+    # an unknown language takes all lists; nothing to say gives nothing
+    assert c("Der Weg war steil pero la comida era buena", None) == ["Der Weg war steil", "la comida era buena"] and c("", "en") == c(" - , ", "en") == []
     assert sequences.word_edits("a b c".split(), "a x c d".split()) == 2
     assert sequences.lost("my name is anna".split(), "my name is [name]".split()) == ["anna"]
     assert sequences.cut_loop("go a b a b a b".split()) == 3
@@ -63,8 +95,9 @@ def test_sequences():
 
 def test_sms():
     parts = sequences.pack_lines("\n".join(["line of text %d" % i for i in range(30)]))
-    assert all(sequences.septets(p) <= 160 for p in parts) and parts[0].endswith(f"1/{len(parts)}")
-    assert sequences.pack_lines("short") == ["short"]
+    assert all(sequences.septets(p) <= 160 for p in parts) and parts[0].endswith(f" (1/{len(parts)})")
+    assert sequences.pack_lines("short") == ["short"] and sequences.pack_lines("a\n\n  \nb") == ["a\nb"]
+    assert not any(p.endswith(")") for p in sequences.pack_lines("x" * 500, numbered=False))
     assert all(sequences.septets(p) <= 160 for p in sequences.pack_lines("x" * 500))
 
 
