@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_WORD = regex.compile(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*")
 EmbedFn = Callable[[list[str]], list[np.ndarray]]
 
 
@@ -18,7 +20,7 @@ def hashing(texts: list[str], dim: int = 64) -> list[np.ndarray]:
     out = []
     for t in texts:
         v = np.zeros(dim)
-        w = t.lower().split()
+        w = _WORD.findall(t.lower())
         for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
             h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
             v[h % dim] += 1 if h >> 63 else -1

@@ -40,6 +40,18 @@ def metrics(a: DataFrame, *keys: str) -> DataFrame:
     return _prf(a.groupBy(*keys).agg(*_counts()), *keys)
 
 
+def summary(spark, d: str) -> DataFrame:
+    """AGG13/AGG14: one row of totals: micro precision, recall and F1, macro F1 over findings that are expected anywhere, share of
+    feedback whose findings are exactly the expected ones, error among the given answers and share of the expected ones captured."""
+    a = answers(spark, d)
+    micro = _prf(a.agg(*_counts()))
+    macro = metrics(a, "finding").where("tp + fn > 0").agg(F.coalesce(F.round(F.avg("f1"), 6), F.lit(0.0)).alias("macro_f1"))
+    all_ = unique(table(spark, d, "feedback"), "id").agg(F.count(F.lit(1)).alias("messages"))
+    off = a.where("expected <> given").agg(F.countDistinct("id").alias("off"))
+    one = micro.join(F.broadcast(macro)).join(F.broadcast(all_)).join(F.broadcast(off))  # single rows
+    return one.select("precision", "recall", "f1", "macro_f1", _ratio(F.col("messages") - F.col("off"), F.col("messages")).alias("exact"), _ratio(F.col("fp"), F.col("tp") + F.col("fp")).alias("accepted_error"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("captured"))
+
+
 def metrics_by_language(a: DataFrame) -> DataFrame:
     """AGG16: each language and all."""
     return _prf(a.groupingSets([["lang"], []], "lang").agg(*_counts()), "lang")
@@ -120,6 +132,9 @@ _SCO = "s AS (SELECT round(list_max(list_transform(findings, lambda f: f.confide
 _SWEEP = f"""sw AS (SELECT t / 100 AS threshold, count(score) AS accepted, {_R('count(score) FILTER (good)', '(SELECT count(*) FROM s WHERE good AND score IS NOT NULL)')} AS captured, {_R('count(score) - count(score) FILTER (good)', 'count(score)')} AS error FROM range(30, {30 + STEPS}) r(t) LEFT JOIN s ON floor(score * 100) >= t GROUP BY t)"""
 ORACLE = {
     "label_metrics": f"WITH {_ANS} SELECT finding, {_PRF} FROM (SELECT finding, {_CNT} FROM a GROUP BY finding)",
+    "evaluation_summary": f"""WITH {_ANS}, m AS (SELECT {_CNT} FROM a), p AS (SELECT {_PRF} FROM m), pf AS (SELECT finding, {_PRF} FROM (SELECT finding, {_CNT} FROM a GROUP BY finding)),
+      x AS (SELECT (SELECT count(DISTINCT id) FROM a WHERE expected <> given) AS off, (SELECT count(*) FROM {_F}) AS n)
+      SELECT precision, recall, f1, (SELECT coalesce(round(avg(f1), 6), 0.0) FROM pf WHERE tp + fn > 0) AS macro_f1, {_R('n - off', 'n')} AS exact, {_R('fp', 'tp + fp')} AS accepted_error, recall AS captured FROM p, x""",
     "metrics_by_lang": f"WITH {_ANS} SELECT lang, {_PRF} FROM (SELECT lang, {_CNT} FROM a GROUP BY GROUPING SETS ((lang), ()))",
     "label_confusion": f"""WITH {_ANS}, x AS (SELECT id, finding AS given_finding FROM a WHERE expected = 0) SELECT expected_finding, given_finding, count(*) AS n FROM (
       SELECT finding AS expected_finding, finding AS given_finding FROM a WHERE expected = 1 AND given = 1 UNION ALL SELECT a.finding, coalesce(x.given_finding, 'none') FROM a LEFT JOIN x USING (id) WHERE a.expected = 1 AND a.given = 0) GROUP BY ALL""",

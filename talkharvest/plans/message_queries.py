@@ -74,9 +74,9 @@ def trend_matrix(spark, d):
     m = _stored(spark, d)
     k = recap.counts(m).groupBy("finding", "visit_month").agg(F.sum("k").alias("k"))
     n = recap.counted(m).groupBy("visit_month").agg(F.count(F.lit(1)).alias("n"))
-    months = m.where("visit_month IS NOT NULL").select("visit_month").distinct().join(n, "visit_month", "left")
-    grid = k.select("finding").distinct().crossJoin(months)
-    return grid.join(k, ["finding", "visit_month"], "left").select("finding", "visit_month", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("k", "n")])
+    months = F.array(*map(F.lit, recap.months_of(m))).cast("array<string>")
+    grid = k.select("finding").distinct().withColumn("visit_month", F.explode(months))
+    return grid.join(k, ["finding", "visit_month"], "left").join(n, "visit_month", "left").select("finding", "visit_month", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("k", "n")])
 
 
 def coop_aggregate(spark, d):
@@ -182,10 +182,19 @@ def segments_to_translate(spark, d):
 
 
 def review_split(spark, d):
-    """JOIN11: chunks of visitors with several chunks in a month, and the rest."""
-    c = _chunks(spark, d).where("visit_month IS NOT NULL").select("chunk_id", "visit_month", F.coalesce("visitor_key", "message_id").alias("visitor"))
-    often = c.groupBy("visit_month", "visitor").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("visit_month", "visitor")
-    return c.join(often, ["visit_month", "visitor"], "left_semi").select("chunk_id", F.lit(True).alias("recurring")).unionByName(c.join(often, ["visit_month", "visitor"], "left_anti").select("chunk_id", F.lit(False).alias("recurring")))
+    """JOIN5/JOIN11: chunks for review with their cluster, and whether it is one that recurs."""
+    c = _chunks(spark, d)
+    return clustering.reviewed(c.where("status IN ('not_sure', 'off_list')"), cut(clustering.linked(c)))
+
+
+def unknown_topics(spark, d):
+    """AGG9/SORT2: the clusters with their visitors, most first."""
+    return clustering.described(clustering.linked(_chunks(spark, d)))
+
+
+def stored_projection(spark, d):
+    """DEC12: what is kept of an incoming message: an allow-list of columns without its text."""
+    return _raw(spark, d).select("message_id", "farm_id", "received_at", month_of(F.col("received_at")).alias("visit_month"), "source", F.col("declared_lang").alias("lang"), "fingerprint", "synthetic")
 
 
 def cluster_unknown_topics(spark, d):
@@ -267,7 +276,7 @@ def seeded_sample(spark, d):
 QUERIES = {f.__name__: f for f in (
     message_findings_union, coop_findings_filter, message_counts, recap_counts, recap_volume, recap_streaks, recap_keep_fix, recap_lines, trend_matrix, coop_aggregate, coop_everywhere, dup_exact_chained, dup_exact_leader,
     dup_near_embeddings, expire_columns, audio_gate, message_doubt, review_projection, unknown_candidates, closed_months, local_months, previous_months, segments_to_translate, review_split, cluster_unknown_topics,
-    stored_clusters, merge_short_segments, newest_messages, known_union, months_desc, exact_matches, catalogue_faults, last_write_wins, given_name_dictionary, seeded_sample,
+    unknown_topics, stored_projection, stored_clusters, merge_short_segments, newest_messages, known_union, months_desc, exact_matches, catalogue_faults, last_write_wins, given_name_dictionary, seeded_sample,
 )}
 
 _S = "(SELECT DISTINCT ON (message_id) * FROM messages_stored WHERE message_id IS NOT NULL)"
@@ -298,8 +307,9 @@ ORACLE = {
       SELECT farm_id, visit_month, 1 AS line_no, 'volume' AS template, NULL AS finding, n AS value FROM v
       UNION ALL SELECT farm_id, visit_month, 2, 'keep', finding, k FROM kf WHERE polarity = 'positive'
       UNION ALL SELECT v.farm_id, v.visit_month, 3, CASE WHEN finding IS NULL THEN 'nothing_urgent' WHEN streak >= 2 THEN 'fix_streak' ELSE 'fix' END, finding, CASE WHEN finding IS NULL THEN NULL WHEN streak >= 2 THEN streak ELSE k END FROM v LEFT JOIN (SELECT * FROM kf WHERE polarity = 'negative') x ON x.farm_id = v.farm_id AND x.visit_month = v.visit_month
-      UNION ALL SELECT farm_id, visit_month, 5, 'not_understood', NULL, p FROM v WHERE p > 0)
-      SELECT l.*, replace(replace(CASE template WHEN 'volume' THEN 'Messages this month: {{n}}' WHEN 'keep' THEN 'Keep: {{f}} ({{n}})' WHEN 'fix' THEN 'To improve: {{f}} ({{n}})' WHEN 'fix_streak' THEN 'Again, {{n}} months in a row: {{f}}' WHEN 'nothing_urgent' THEN 'Nothing urgent' ELSE 'Not understood: {{n}}' END, '{{n}}', coalesce(value::VARCHAR, '')), '{{f}}', coalesce(label_en, '')) AS text FROM l LEFT JOIN findings ON finding_id = finding""".replace("{{", "{").replace("}}", "}"),
+      UNION ALL SELECT farm_id, visit_month, 5, 'not_understood', NULL, p FROM v WHERE p > 0
+      UNION ALL SELECT f.farm_id, m.visit_month, 1, 'no_feedback', NULL, NULL FROM (SELECT DISTINCT farm_id FROM messages_stored WHERE farm_id IS NOT NULL) f, (SELECT DISTINCT visit_month FROM messages_stored WHERE visit_month IS NOT NULL) m WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.farm_id = f.farm_id AND v.visit_month = m.visit_month))
+      SELECT l.*, replace(replace(CASE template WHEN 'volume' THEN 'Messages this month: {{n}}' WHEN 'keep' THEN 'Keep: {{f}} ({{n}})' WHEN 'fix' THEN 'To improve: {{f}} ({{n}})' WHEN 'fix_streak' THEN 'Again, {{n}} months in a row: {{f}}' WHEN 'nothing_urgent' THEN 'Nothing urgent' WHEN 'no_feedback' THEN 'No feedback this month' ELSE 'Not understood: {{n}}' END, '{{n}}', coalesce(value::VARCHAR, '')), '{{f}}', coalesce(label_en, '')) AS text FROM l LEFT JOIN findings ON finding_id = finding""".replace("{{", "{").replace("}}", "}"),
     "trend_matrix": f"""WITH {_K}, o AS (SELECT DISTINCT visit_month FROM {_S} WHERE visit_month IS NOT NULL), n AS (SELECT visit_month, count(*) AS n FROM counted GROUP BY visit_month), f AS (SELECT DISTINCT finding FROM k)
       SELECT f.finding, o.visit_month, coalesce((SELECT sum(k.k) FROM k WHERE k.finding = f.finding AND k.visit_month = o.visit_month), 0)::BIGINT AS k, coalesce(n.n, 0) AS n FROM f CROSS JOIN o LEFT JOIN n USING (visit_month)""",
     "coop_aggregate": _COOP,
@@ -321,7 +331,9 @@ ORACLE = {
     "local_months": f"SELECT message_id, {_MONTH} AS month, {_MONTH} = visit_month AS agrees FROM {_S}",
     "previous_months": f"SELECT DISTINCT visit_month, strftime(CAST(visit_month || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m') AS previous FROM {_S}",
     "segments_to_translate": f"SELECT DISTINCT message_id FROM {_C} WHERE message_id NOT IN (SELECT message_id FROM {_S} WHERE len(findings) > 0)",
-    "review_split": f"SELECT chunk_id, count(*) OVER (PARTITION BY visit_month, coalesce(visitor_key, message_id)) >= 3 AS recurring FROM {_C} WHERE visit_month IS NOT NULL",
+    "stored_projection": f"SELECT message_id, farm_id, received_at, {_MONTH} AS visit_month, source, declared_lang AS lang, fingerprint, synthetic FROM {_R}",
+    "merge_short_segments": f"""WITH c AS (SELECT message_id, chunk_id, coalesce(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')), 0) AS n FROM {_C}), i AS (SELECT *, sum((n >= 3)::INT) OVER (PARTITION BY message_id ORDER BY chunk_id) AS g FROM c)
+      SELECT message_id, greatest(g, 1)::BIGINT AS segment, sum(n)::BIGINT AS words, min(chunk_id) AS first_chunk FROM i GROUP BY 1, 2""",
     "newest_messages": f"SELECT message_id FROM {_S} WHERE received_at IS NOT NULL ORDER BY received_at DESC, message_id LIMIT 20",
     "known_union": f"SELECT fingerprint, count(*) AS n, max(old) AS old FROM (SELECT fingerprint, 1 AS old FROM {_S} UNION ALL SELECT fingerprint, 0 FROM {_R}) WHERE fingerprint IS NOT NULL GROUP BY fingerprint",
     "months_desc": f"SELECT DISTINCT visit_month FROM {_S}",

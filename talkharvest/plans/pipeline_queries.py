@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences
 from ..functions import text as T
 from ..functions.embedding import embed
-from ..operators import analysis, recap
+from ..operators import analysis, clustering, recap
 from ..sources.tables import table, unique
 
 
@@ -25,9 +25,11 @@ def analysed_messages(spark, d):
 
 
 def month_reports(spark, d):
-    """REC3: each farm's month as text messages: recap lines in order, packed into numbered parts."""
+    """REC3: each farm's month as text messages: recap lines in order, its recurring unknown topic among them, packed into numbered parts."""
     s = unique(table(spark, d, "messages_stored"), "message_id")
-    l = recap.lines(s, table(spark, d, "findings")).groupBy("farm_id", "visit_month").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    topics = clustering.described(clustering.linked(unique(table(spark, d, "review_chunks"), "chunk_id"))).where("recurring")
+    largest = topics.groupBy("farm_id", "visit_month").agg(F.max("visitors").alias("k"))
+    l = recap.lines(s, table(spark, d, "findings"), largest).groupBy("farm_id", "visit_month").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
     body = T.to_gsm7(F.concat_ws("\n", F.transform("l", lambda x: x["text"])))
     return l.select("farm_id", "visit_month", F.size(sequences.sms_packer()(body)).alias("parts"), F.length(body).alias("chars"))
 

@@ -54,20 +54,46 @@ def phantom_filter(spark, d):
     return rows.select("clip_id", T.is_phantom(F.col("transcript")).alias("phantom"))
 
 
+#: Letters a keyword has at least, labelled spans it stands in, and the share of them that name its finding.
+KEYWORD_LETTERS, KEYWORD_SPANS, KEYWORD_SHARE = 4, 3, 0.6
+
+
+def _lang(c: str):
+    return F.lower(F.substring(F.trim(c), 1, 2))
+
+
+def keyword_list(spark, d):
+    """lang, term, finding: words of labelled spans that name one finding almost always, by language."""
+    f = unique(table(spark, d, "feedback").select("id", "lang", "chunks"), "id").select(_lang("lang").alias("lang"), F.explode("chunks").alias("c"))
+    w = f.where("c.span IS NOT NULL AND lang <> ''").select("lang", F.col("c.finding").alias("finding"), F.explode(F.array_distinct(T.words(F.col("c.span")))).alias("term")).where(F.length("term") >= KEYWORD_LETTERS)
+    n = w.groupBy("lang", "term", "finding").agg(F.count(F.lit(1)).alias("n"))
+    all_ = n.groupBy("lang", "term").agg(F.sum("n").alias("all"))
+    return n.join(all_, ["lang", "term"]).where((F.col("n") >= KEYWORD_SPANS) & (F.col("n") >= KEYWORD_SHARE * F.col("all")) & F.col("finding").isNotNull()).select("lang", "term", "finding")
+
+
+def _classified(spark, d, whole: bool):
+    """TXT14: chunk_id, message_id, finding by the keyword list of the message's language, or all lists where it has none.
+
+    Words meet terms by equality or, as prefixes, by their first letters; no chunk is held against the whole list.
+    """
+    c = unique(table(spark, d, "review_chunks").select("chunk_id", "message_id", "text"), "chunk_id").where("text IS NOT NULL")
+    langs = unique(table(spark, d, "messages_stored").select("message_id", "lang"), "message_id").select("message_id", _lang("lang").alias("lang"))
+    terms = keyword_list(spark, d).withColumnRenamed("lang", "of")
+    known = F.broadcast(terms.select("of").distinct().withColumnRenamed("of", "lang").withColumn("known", F.lit(True)))  # languages
+    w = c.join(langs, "message_id", "left").join(known, "lang", "left").select("chunk_id", "message_id", "lang", "known", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    head = lambda col: F.substring(col, 1, KEYWORD_LETTERS)
+    hit = F.col("word") == F.col("term") if whole else (head("word") == head("term")) & F.col("word").startswith(F.col("term"))
+    return w.join(terms, hit).where(F.col("known").isNull() | (F.col("lang") == F.col("of"))).select("chunk_id", "message_id", "finding").distinct()
+
+
 def keyword_hits(spark, d, whole: bool = False):
-    """TXT14: chunk x keyword list of its language, folded; prefix mode or whole-word mode."""
-    rows = unique(table(spark, d, "review_chunks").select("chunk_id", "text"), "chunk_id").where("text IS NOT NULL").select("chunk_id", T.padded(F.col("text")).alias("t"))
-    lists = spark.createDataFrame(KEYWORDS, "finding string, term string")
-    hit = F.col("t").contains(F.concat(F.lit(" "), F.col("term"), F.lit(" "))) if whole else F.col("t").contains(F.concat(F.lit(" "), F.col("term")))
-    # the keyword list is a fixed table of this module
-    return rows.join(F.broadcast(lists), hit).groupBy("finding").agg(F.countDistinct("chunk_id").alias("chunks"))
+    """TXT14: finding, chunks; prefix mode or whole-word mode."""
+    return _classified(spark, d, whole).groupBy("finding").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-# fixed values of this project: a small keyword list per finding
-KEYWORDS = [
-    ("N1", "road"), ("N1", "track"), ("N1", "weg hinauf"), ("N1", "camino que sube"), ("N5", "toilet"), ("N5", "toilette"), ("N9", "water"), ("N9", "eau"), ("N9", "agua"),
-    ("P3", "tasting"), ("P3", "degustation"), ("P3", "verkostung"), ("P4", "stew"), ("P4", "haricot"), ("P5", "hill"), ("P5", "colline"), ("P5", "hugel"),
-]
+def keyword_messages(spark, d):
+    """TXT15: message_id, findings: the findings of all chunks of a message, by whole words."""
+    return _classified(spark, d, True).groupBy("message_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("finding"))).alias("findings"))
 
 
 def sentences_exploded(spark, d):
@@ -186,7 +212,7 @@ def untranslated_words(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     fold_words, word_counts, fingerprint_exact_groups, lang_guess_summary, negation_flags, guide_mentions, phantom_filter, sentences_exploded, clauses_exploded, length_classes, wer_normalise, gsm7_length,
-    sms_parts, sms_uris, share_intake, pii_emails, pii_handles, pii_full, pii_recall, repetition_cut, edit_distance_words, char_errors, removed_words, token_jaccard, untranslated_words,
+    sms_parts, sms_uris, share_intake, pii_emails, pii_handles, pii_full, pii_recall, repetition_cut, edit_distance_words, char_errors, removed_words, token_jaccard, untranslated_words, keyword_list, keyword_messages,
 )} | {"keyword_hits_prefix": keyword_hits, "keyword_hits_word": lambda s, d: keyword_hits(s, d, True)}
 
 
@@ -249,6 +275,10 @@ _SENT = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
 for _ in range(2):
     _SENT = rf"regexp_replace({_SENT}, {_KEPT}, '\1\2' || chr(3) || '\3', 'g')"
 _SENT = rf"""regexp_replace(regexp_replace({_SENT}, '([.!?…;]+["»”)]*)[ \t\x{{00a0}}]+', '\1' || chr(2), 'g'), chr(3), '.', 'g')"""
+_HITS = f"""s AS (SELECT lower(substr(trim(lang), 1, 2)) AS lang, unnest(chunks) AS c FROM {_u('feedback', 'id')}), w AS (SELECT lang, c.finding AS finding, unnest(list_distinct({_words('c.span')})) AS term FROM s WHERE c.span IS NOT NULL AND lang <> ''),
+  k AS (SELECT lang, term, finding, count(*) AS n FROM w WHERE length(term) >= {KEYWORD_LETTERS} GROUP BY lang, term, finding), n AS (SELECT *, sum(n) OVER (PARTITION BY lang, term) AS al FROM k), t AS (SELECT lang, term, finding FROM n WHERE finding IS NOT NULL AND n >= {KEYWORD_SPANS} AND n >= {KEYWORD_SHARE} * al),
+  c AS (SELECT chunk_id, c.message_id, lower(substr(trim(m.lang), 1, 2)) AS lang, unnest(list_distinct({_words('text')})) AS word FROM {_u('review_chunks', 'chunk_id')} c LEFT JOIN {_u('messages_stored', 'message_id')} m ON m.message_id = c.message_id WHERE text IS NOT NULL),
+  h AS (SELECT DISTINCT chunk_id, message_id, finding FROM c JOIN t ON <hit> AND (c.lang = t.lang OR c.lang IS NULL OR c.lang NOT IN (SELECT lang FROM t)))"""
 ORACLE = {
     "fold_words": f"SELECT doc_id, CASE WHEN text IS NULL THEN -1 ELSE len({_words('text')}) END AS n_words, md5(coalesce(array_to_string({_words('text')}, ' '), '')) AS words_md5 FROM documents",
     "word_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) GROUP BY word",
@@ -280,7 +310,9 @@ ORACLE = {
     "untranslated_words": f"""WITH m AS (SELECT chunk_id, len(list_intersect(list_distinct(list_transform(list_filter({_words('text')}, lambda w: length(w) >= 5), lambda w: substr(w, 1, 5))), list_distinct(list_transform(list_filter({_words('english_mt')}, lambda w: length(w) >= 5), lambda w: substr(w, 1, 5)))))::INT AS leaks FROM {_u('review_chunks', 'chunk_id')} WHERE text IS NOT NULL AND english_mt IS NOT NULL)
       SELECT * FROM m WHERE leaks > 0""",
 } | {
-    f"keyword_hits_{mode}": f"""WITH t AS (SELECT chunk_id, {_padded('text')} AS t FROM {_u('review_chunks', 'chunk_id')} WHERE text IS NOT NULL), k(finding, term) AS (VALUES {', '.join(f"({_q(a)}, {_q(b)})" for a, b in KEYWORDS)})
-      SELECT finding, count(DISTINCT chunk_id) AS chunks FROM t JOIN k ON contains(t, ' ' || term{end}) GROUP BY finding"""
-    for mode, end in (("prefix", ""), ("word", " || ' '"))
+    f"keyword_hits_{mode}": f"WITH {_HITS.replace('<hit>', hit)} SELECT finding, count(DISTINCT chunk_id) AS chunks FROM h GROUP BY finding" for mode, hit in (("prefix", "starts_with(word, term)"), ("word", "word = term"))
+} | {
+    "keyword_list": f"WITH {_HITS.replace('<hit>', 'word = term')} SELECT lang, term, finding FROM t",
+    "keyword_messages": f"WITH {_HITS.replace('<hit>', 'word = term')} SELECT message_id, string_agg(DISTINCT finding, ',' ORDER BY finding) AS findings FROM h GROUP BY message_id",
+    "sms_uris": f"SELECT id, length('sms:+250700000000?body=' || url_encode(text))::INT AS uri_length FROM {_u('feedback', 'id')} WHERE text IS NOT NULL",
 }

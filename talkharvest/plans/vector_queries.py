@@ -110,6 +110,10 @@ def classifier_accuracy(spark, d):
 # ---- evaluation
 
 
+def evaluation_summary(spark, d):
+    return evaluation.summary(spark, d)
+
+
 def label_confusion(spark, d):
     return evaluation.confusion(evaluation.answers(spark, d))
 
@@ -199,7 +203,7 @@ def audio_frames(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    score_agree_inverted, score_topk_mean, top3_scores, nn_confusion, cross_label_pairs, decide_similarity, second_findings, decide_linear, classifier_accuracy, label_confusion, label_metrics, metrics_by_lang, wilson_interval,
+    score_agree_inverted, score_topk_mean, top3_scores, nn_confusion, cross_label_pairs, decide_similarity, second_findings, decide_linear, classifier_accuracy, evaluation_summary, label_confusion, label_metrics, metrics_by_lang, wilson_interval,
     answer_tallies, loss_diagnosis, threshold_sweep, choose_threshold, youden_floor, rank_variants, stratified_split, cross_validation_folds, event_streaks, event_resends, audio_frames,
 )}
 

@@ -137,3 +137,42 @@ def test_trends_cover_all_months(spark, tmp_path):
     m.write.parquet(str(tmp_path / "messages_stored.parquet"))
     got = sorted(map(tuple, Q.trend_matrix(spark, str(tmp_path)).select("finding", "visit_month", "k", "n").collect()))
     assert got == [("N1", "2025-02", 0, 2), ("N1", "2026-01", 0, 0), ("N1", "2026-06", 1, 2), ("P1", "2025-02", 2, 2), ("P1", "2026-01", 0, 0), ("P1", "2026-06", 0, 2)]
+
+
+def test_average_linkage_is_the_plain_greedy_one():
+    from talkharvest.operators.clustering import average_linkage
+
+    r = np.random.default_rng(2)
+    x = np.repeat(r.standard_normal((6, 20)), 7, 0) + 0.5 * r.standard_normal((42, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    groups = [[i] for i in range(len(x))]
+    while True:
+        s, i, j = max(((float((x[a] @ x[b].T).mean()), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j), default=(-1, 0, 0))
+        if s < 0.57:
+            break
+        groups[-i] += groups.pop(-j)
+    got = average_linkage(x, 0.57)
+    assert {frozenset(np.flatnonzero(got == k)) for k in set(got)} == {frozenset(g) for g in groups} and len(groups) < 42
+    assert len(average_linkage(x[:0], 0.57)) == 0
+
+
+def test_clusters_for_review(spark):
+    from talkharvest.operators import clustering
+
+    m = spark.createDataFrame([("f", "m", f"c{i}", f"v{i % 3 if k == 'a' else 1}", k) for i, k in enumerate("aaaabbc")], "farm_id string, visit_month string, chunk_id string, visitor string, cluster string")
+    assert [(r.cluster, r.chunks, r.visitors, r.recurring) for r in clustering.described(m).collect()] == [("a", 4, 3, True), ("b", 2, 1, False), ("c", 1, 1, False)]
+    chunks = spark.createDataFrame([(f"c{i}",) for i in (0, 4, 9)], "chunk_id string")
+    assert {r.chunk_id: (r.cluster, r.recurring) for r in clustering.reviewed(chunks, m).collect()} == {"c0": ("a", True), "c4": ("b", False), "c9": (None, False)}
+
+
+def test_quiet_months_and_unknown_topics(spark):
+    m = messages(spark, [("a", "f", "2026-01", "analyzed", ["P1"], 0), ("b", "g", "2026-02", "analyzed", ["N1", "N1"], 0), ("c", "g", "2026-02", "analyzed", ["N1"], 2), ("d", "f", "2026-02", "duplicate", ["P1"], 0)])
+    f = spark.createDataFrame([("P1", "positive", "good", 1), ("N1", "negative", "bad", 2)], "finding_id string, polarity string, label_en string, ordinal int")
+    u = spark.createDataFrame([("g", "2026-02", 4), ("f", "2026-02", 3)], "farm_id string, visit_month string, k int")
+    got = {(r.farm_id, r.visit_month, r.line_no): r.template for r in recap.lines(m, f, u).collect()}
+    assert got == {
+        ("f", "2026-01", 1): "volume", ("f", "2026-01", 2): "keep", ("f", "2026-01", 3): "nothing_urgent", ("f", "2026-02", 1): "no_feedback", ("g", "2026-01", 1): "no_feedback",
+        ("g", "2026-02", 1): "volume", ("g", "2026-02", 3): "fix", ("g", "2026-02", 4): "unknown_topic", ("g", "2026-02", 5): "not_understood",
+    }
+    bad = spark.createDataFrame([("g", "2026-02", -1)], "farm_id string, visit_month string, k int")
+    assert recap.lines(m, f, bad).where("line_no = 4").count() == 0

@@ -59,7 +59,7 @@ def test_forms_and_ends(spark):
     assert one(T.words, "Ｆｕｌｌ ﬁne ½ ①² ĳs École") == ["full", "fine", "1", "2", "12", "ijs", "ecole"]
     assert one(T.word_count, "l'eau d'ici isn't") == 6 and one(T.word_count, "") == 0
     assert one(T.sentences, "He said no. We left.") == ["He said no.", "We left."]
-    assert one(T.sentences, "Table no. 14 was ours. Then dr. weber came, approx. two of us. Dr. A.B. too.") == ["Table no. 14 was ours.", "Then dr. weber came, approx. two of us.", "Dr. A.B. too."]
+    assert one(T.sentences, "Table no. 14 was ours. Then dr. weber came, approx. two of us. Ask dr. A.B.") == ["Table no. 14 was ours.", "Then dr. weber came, approx. two of us.", "Ask dr. A.B."]
     assert not one(T.is_phantom, "112") and one(T.is_phantom, "Subtítulos por la comunidad") and not one(T.is_phantom, "Die Untertitel fehlten") and one(T.is_phantom, "?! …")
     assert one(T.fingerprint, "?!") is None and one(T.gsm7_length, "a\f") == 3 and one(T.wer_normalised, "Ｆｕｌｌ É") == "full é"
 
