@@ -192,6 +192,24 @@ def test_sentences(spark):
     assert sentences.split(sentences.scanned(odd.limit(0)), m).count() == 0
 
 
+def test_open_mode_without_marks(spark):
+    r = np.random.default_rng(0)
+    units = ["the guide was very kind to us", "we liked the farm and the food", "our bus came late on sunday", "children fed all the goats"]
+    words = {u: u.split() for u in units}
+    texts = ["\n".join(units[int(k)] for k in r.integers(0, 4, 3)) for _ in range(80)]
+    scans = sentences.scanned(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "rec_id string, text string"))
+    m = sentences.train(scans)
+    joined = " ".join(units)
+    cut = lambda t, o: [t[a:b] for a, b in sentences.sentences(t, sentences.taken(t)[0], m, o)]
+    assert cut(joined, False) == [joined] and cut(joined, True) == units and len(words) == 4
+    assert cut("the guide was kind. we liked it", True) == cut("the guide was kind. we liked it", False)
+    # a script without spaces and end marks, by characters
+    han = ["我们喜欢农场", "向导非常友好", "孩子喂了山羊"]
+    scans = sentences.scanned(spark.createDataFrame([(str(i), "\n".join(han[int(k)] for k in r.integers(0, 3, 3))) for i in range(60)], "rec_id string, text string"))
+    m = sentences.train(scans)
+    assert cut("".join(han), True) == han and cut("", True) == cut("农", True)[1:] == []
+
+
 def test_rare_words_and_contexts_count_for_their_class(spark, monkeypatch):
     monkeypatch.setattr(sentences, "SHARE", 0.02)
     texts = ["We saw it. We left."] * 60 + [f"We saw Name{i}. Odd{i} left." for i in range(40)]
