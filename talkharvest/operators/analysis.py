@@ -75,3 +75,20 @@ def chosen_translation(tries: DataFrame, threshold: float = 0.8) -> DataFrame:
     t = tries.withColumn("score", F.least("forth", "back"))
     first = F.min(F.when(F.col("score") >= threshold, F.col("attempt")))
     return t.groupBy("key").agg(F.coalesce(first, F.max_by("attempt", F.struct("score", -F.col("attempt")))).alias("attempt"))
+
+
+def three_phases(clips: DataFrame, examples: DataFrame, folder: str, transcribe, translate, **how) -> DataFrame:
+    """STR8: all clips are transcribed, then all analysed, then only sentences under review translated; each phase is written and read again.
+
+    clips: message_id, lang and what ``transcribe`` (DataFrame -> DataFrame with text) needs. ``translate`` is a function of
+    a text column. Gives message_id, sentence_index, sentence, translation of messages without any finding.
+    """
+    spark = clips.sparkSession
+    transcribe(clips).select("message_id", "lang", "text").write.mode("overwrite").parquet(f"{folder}/texts")
+    texts = spark.read.parquet(f"{folder}/texts")
+    analysed(texts, examples, **how).write.mode("overwrite").parquet(f"{folder}/analysed")
+    done = spark.read.parquet(f"{folder}/analysed")
+    doubtful = done.where("status = 'not_sure' AND size(findings) = 0").select("message_id")
+    rows = texts.join(doubtful, "message_id", "left_semi").select("message_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "sentence"))
+    rows.withColumn("translation", translate(F.col("sentence"))).write.mode("overwrite").parquet(f"{folder}/translated")
+    return spark.read.parquet(f"{folder}/translated")

@@ -112,10 +112,10 @@ def dup_near_embeddings(spark, d):
     return duplicates.near(_messages(spark, d))
 
 
-def expire_columns(spark, d):
-    """DEC10/STR4: fingerprint and embedding leave after the window."""
+def expire_columns(spark, d, since: str = "2026-06-15"):
+    """DEC10/STR4/UDF3: fingerprint and embedding leave after the window."""
     s = _stored(spark, d)
-    old = (F.col("received_at") < F.lit("2026-06-15").cast("timestamp_ntz")) | F.col("received_at").isNull()
+    old = (F.col("received_at") < F.lit(since).cast("timestamp_ntz")) | F.col("received_at").isNull()
     return s.select("message_id", F.when(~old, F.col("fingerprint")).alias("fingerprint"), F.when(~old, F.size("embedding")).alias("dims"))
 
 
@@ -151,9 +151,9 @@ def unknown_candidates(spark, d):
     return c.groupBy("visit_month").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct(F.coalesce("visitor_key", "message_id")).alias("visitors"))
 
 
-def closed_months(spark, d):
-    """DEC9/DATE3: months before the current one without a message still in the queue."""
-    s = _stored(spark, d).where(F.col("visit_month") < TODAY_MONTH).select("visit_month").distinct()
+def closed_months(spark, d, today: str = TODAY_MONTH):
+    """DEC9/DATE3/UDF3: months before the given current one without a message still in the queue."""
+    s = _stored(spark, d).where(F.col("visit_month") < today).select("visit_month").distinct()
     queued = _raw(spark, d).where("received_at IS NOT NULL").select(month_of(F.col("received_at")).alias("visit_month")).distinct()
     return s.join(queued, "visit_month", "left_anti")
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import duplicates
+from ..plans.cut import cut
+from ..sources.tables import unique
+
 WINDOW_US = 7 * 86_400_000_000
 
 
@@ -46,6 +51,38 @@ def mark_duplicates(messages: DataFrame, chained: bool = True, memory: str = "7
     return timed.groupBy("fingerprint").applyInPandasWithState(step, "message_id string, duplicate boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def near_memory(stream: DataFrame, folder: str, checkpoint: str, days: int = 7) -> None:
+    """STR3: message_id, duplicate of every message, decided by embedding against what came within the window before it.
+
+    The memory is a Parquet folder by week that each batch of the stream extends; a batch reads only the weeks its window
+    touches (all of them where a message has no time). A repeated batch overwrites its own files, so a restart changes nothing.
+    stream: message_id, received_at, embedding.
+    """
+    span = F.lit(days * 86_400_000_000)
+
+    def step(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        micros = F.unix_micros(F.col("received_at").cast("timestamp"))
+        new = cut(unique(df, "message_id").select("message_id", F.lit(False).alias("old"), micros.alias("t"), F.lit(None).cast("string").alias("fp"), "embedding"))
+        known = new.limit(0)
+        try:
+            past = spark.read.parquet(f"{folder}/memory").where(F.col("batch") != batch)
+            r = new.agg(F.min("t"), F.max("t"), F.count_if(F.col("t").isNull())).first()
+            if r[2] == 0 and r[0] is not None:
+                weeks = [F.floor(F.lit(x) / span) for x in (r[0] - days * 86_400_000_000, r[1] + days * 86_400_000_000)]
+                past = past.where(F.col("week").between(*weeks) | F.col("week").isNull())
+            known = past.select("message_id", F.lit(True).alias("old"), "t", F.lit(None).cast("string").alias("fp"), "embedding")
+        except AnalysisException:  # nothing is remembered yet
+            pass
+        near = duplicates.near(known.unionByName(new), days).withColumn("duplicate", F.lit(True))
+        out = new.select("message_id").join(near, "message_id", "left").select("message_id", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
+        out.write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch}")
+        kept = new.select("message_id", "t", "embedding", F.floor(F.col("t") / span).alias("week"))
+        kept.write.mode("overwrite").partitionBy("week").parquet(f"{folder}/memory/batch={batch}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def close_months(chunks: DataFrame, lateness: str = "1 day") -> DataFrame:
     """STR5/STR6: visit_month, side, chunk_ids of each closed month: once when the watermark has passed its end, and
     chunks that come after that as a side group of their own (they never join a closed one)."""

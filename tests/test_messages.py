@@ -176,3 +176,34 @@ def test_quiet_months_and_unknown_topics(spark):
     }
     bad = spark.createDataFrame([("g", "2026-02", -1)], "farm_id string, visit_month string, k int")
     assert recap.lines(m, f, bad).where("line_no = 4").count() == 0
+
+
+def test_near_memory_of_a_stream(spark, tmp_path):
+    schema = "message_id string, received_at timestamp, embedding array<float>"
+    r = np.random.default_rng(1)
+    a, b = r.standard_normal(64), r.standard_normal(64)
+    day = lambda d: dt.datetime(2026, 1, d)
+    near = lambda v: [float(x) for x in v + 0.02 * r.standard_normal(64)]
+    batches = [
+        [("a", day(1), near(a)), ("b", day(1), near(b))],
+        [("c", day(7), near(a)), ("d", day(20), near(b)), ("e", day(8), None)],
+        [("f", None, near(a)), ("g", day(22), near(b)), ("h", day(30), near(-a))],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(2):  # a second run finds nothing new
+            memory.near_memory(memory.queue(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = {x.message_id: x.duplicate for x in spark.read.parquet(str(tmp_path / "out/decisions")).collect()}
+    assert got == {"a": False, "b": False, "c": True, "d": False, "e": False, "f": True, "g": True, "h": False}
+
+
+def test_three_phases(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from talkharvest.functions.embedding import embed
+    from talkharvest.operators import analysis
+
+    spans = embed(spark.createDataFrame([("N1", False, "the road was hard")], "finding string, negated boolean, span string"), "span").drop("span")
+    clips = spark.createDataFrame([("a", "en", "The road was hard."), ("b", "en", "The road was soft. Perhaps."), ("c", "en", None)], "message_id string, lang string, sound string")
+    out = analysis.three_phases(clips, spans, str(tmp_path), lambda c: c.withColumnRenamed("sound", "text"), F.upper, floor=0.3, accept=0.95)
+    assert [(x.message_id, x.sentence_index, x.translation) for x in out.orderBy("sentence_index").collect()] == [("b", 0, "THE ROAD WAS SOFT."), ("b", 1, "PERHAPS.")]
