@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import re
 import secrets
 import unicodedata
 from collections import Counter
@@ -167,6 +168,10 @@ ADDRESS = [
         r"(?<![\p{L}\p{N}])(?:KG|KN|KK|NR|RN)\s*\d{1,3}\s+(?:st|ave|rd)(?![\p{L}])\.?\s*(?:,?\s*(?:house|no|n\.?º|nr|maison|casa|haus)\.?)?\s*\d{0,4}",
     )
 ]
+#: What every find of these needs, looked for first: a sign for at, a digit, a street word.
+_MAYBE_EMAIL = re.compile(r"@|arobase|arroba|\bat\b|[\[({]\s*a\s*[\])}]", re.I)
+_DIGIT = re.compile(r"\d")
+_STREET_HINTS = [None, None, None, re.compile("stra(?:ß|ss)e|str\\.|weg|gasse|platz|allee|ring|ufer|damm|steig|hof|chaussee|pfad|stieg|graben|wall|berg", re.I), None, None]
 _TITLE = r"(?:mr|mrs|ms|miss|dr|prof|sir|madam|monsieur|madame|mme|mlle|mademoiselle|m|herr|frau|señora|señor|sra|sr|srta|don|doña|doctor|doctora|docteur|dhr|mevr|dott|sig|sig\.ra)"
 _FAMILY = r"(?:family|famille|familie|familia)"
 NAME_CUES = [
@@ -247,17 +252,20 @@ class Finder:
             return []
         found: list[tuple[int, int, str]] = [(m.start(), m.end(), "") for m in regex.finditer(r"\[(?:nom|numéro|name|phone|email|id_number|address)[^\]]*\]", text)]
         free = lambda a, b: not any(a < y and x < b for x, y, _ in found)
-        for p in (PLAIN_EMAIL, EMAIL):
-            found += [(*m.span(), "email") for m in p.finditer(text) if free(*m.span())]
-        for m in ID.finditer(text):
+        if _MAYBE_EMAIL.search(text):
+            for p in (PLAIN_EMAIL, EMAIL):
+                found += [(*m.span(), "email") for m in p.finditer(text) if free(*m.span())]
+        numbered = _DIGIT.search(text) is not None
+        for m in ID.finditer(text) if numbered else ():
             cue = ID_CUE.search(text, max(0, m.start() - 60), m.start())
             if free(*m.span()) and (SURE_ID.match(m[0]) or cue) and sum(c.isdigit() for c in m[0]) >= 2 and not _GOODS.search(text, max(0, m.start() - 24), m.start()):
                 found.append((*m.span(), "id_number"))
-        for p in ADDRESS:
+        streets = [p for p, hint in zip(ADDRESS, _STREET_HINTS) if hint is None or hint.search(text)] if numbered else []
+        for p in streets:
             for m in p.finditer(text):
                 if free(*m.span()):
                     found.append((*m.span(), "address"))
-        for m in PHONE.finditer(text):
+        for m in PHONE.finditer(text) if numbered else ():
             digits = [c for c in m[0] if c.isdigit()]
             if not 7 <= len(digits) <= 15 or not free(*m.span()):
                 continue
