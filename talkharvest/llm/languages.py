@@ -40,8 +40,8 @@ LANGUAGES = {
 }
 CODES = tuple(LANGUAGES)
 #: Labelled records of each language used for fitting, network size, batch and window of the training, steps between two looks
-#: at the held-out tenth, steps at most, and the share of it that must be right in every language. All are bounds of the model only.
-PER_LANGUAGE, HIDDEN, BATCH, WINDOW, LOOK, MAX_STEPS, RIGHT = 1_500, 24, 128, 48, 150, 1_200, 0.995
+#: at the held-out tenth, looks at which wrong labels are left out, steps at most, and the share of it that must be right in every language. All are bounds of the model only.
+PER_LANGUAGE, HIDDEN, BATCH, WINDOW, LOOK, SETTLED, MAX_STEPS, RIGHT = 1_500, 24, 128, 48, 150, 3, 1_200, 0.995
 #: Bytes read at once, sequences read together, least letters of a sentence that counts, least confidence, sentences remembered.
 READ, TOGETHER, LEAST_LETTERS, LEAST_P, REMEMBERED = 192, 256, 6, 0.75, 50_000
 
@@ -258,15 +258,18 @@ def fit(texts: list[str], labels: list[str], share: dict[str, float], seed: int
     for step in range(MAX_STEPS if keep.any() else 0):
         if step % LOOK == 0:
             if step:
-                logp = net.pooled(one)
-                p = shares(logp, 4.0)
+                # what is left out settles in the first looks; later ones only judge the held-out tenth
+                looked = np.arange(len(one)) if step <= SETTLED * LOOK else np.flatnonzero(test)
+                logp = net.pooled([one[i] for i in looked])
+                p, want = shares(logp, 4.0), y[looked]
                 best, firm = p.argmax(1), p.max(1) >= 0.9
-                keep = clear & ~held & (best == y) & firm
+                if step <= SETTLED * LOOK:
+                    keep = clear & ~held & (best == y) & firm
                 # labels that are firmly contradicted are taken as wrong; of each language one sentence may stay doubtful
-                fair = test & ~((best != y) & firm)
-                sharp = calibrated(logp[fair], y[fair])
-                wrong, of = np.bincount(y[fair & (best != y)], minlength=len(CODES)), np.bincount(y[fair], minlength=len(CODES))
-                if step >= 3 * LOOK and (wrong <= np.maximum(1, (1 - RIGHT) * of)).all():
+                fair = test[looked] & ~((best != want) & firm)
+                sharp = calibrated(logp[fair], want[fair])
+                wrong, of = np.bincount(want[fair & (best != want)], minlength=len(CODES)), np.bincount(want[fair], minlength=len(CODES))
+                if step >= SETTLED * LOOK and (wrong <= np.maximum(1, (1 - RIGHT) * of)).all():
                     break
             pools = [np.repeat(w, weight[w]) for w in (np.flatnonzero(keep & (y == k)) for k in range(len(CODES)))]
             # languages by the root of what is left of their records: rare ones more often, but not so that wrong labels of common ones rule them
