@@ -102,14 +102,18 @@ def _among(listed: list[str]):
 
 
 def language_scores(text: Column) -> dict[str, Column]:
-    """Stop-word hits of each language plus letter hints."""
-    w = words(text)
+    """``scores_in`` of a raw text; where many texts are read, make its words and lower case columns of their own first."""
+    return scores_in(words(text), F.lower(text))
+
+
+def scores_in(w: Column, low: Column) -> dict[str, Column]:
+    """Stop-word hits of each language among the words, plus letter hints in the lower-cased text."""
     out = {}
     for lang in LANGS:
         s = F.size(F.filter(w, _among(STOP_WORDS[lang]))).cast("double")
         for hint, letters, points in HINTS:
             if hint == lang:
-                s = s + F.when(F.lower(text).rlike(letters), points).otherwise(0.0)
+                s = s + F.when(low.rlike(letters), points).otherwise(0.0)
         out[lang] = s
     return out
 

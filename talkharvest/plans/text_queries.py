@@ -31,8 +31,9 @@ def fingerprint_exact_groups(spark, d):
 
 
 def lang_guess_summary(spark, d):
-    scores = T.language_scores(F.col("text"))
-    rows = _docs(spark, d).where("text IS NOT NULL").select("lang", *[s.alias(c) for c, s in scores.items()])
+    scores = T.scores_in(F.col("w"), F.col("low"))
+    rows = _docs(spark, d).where("text IS NOT NULL").select("lang", T.words(F.col("text")).alias("w"), F.lower("text").alias("low"))
+    rows = rows.select("lang", *[s.alias(c) for c, s in scores.items()])
     guess, share = T.guess_from({c: F.col(c) for c in scores})
     return rows.select(F.coalesce("lang", F.lit("none")).alias("declared"), guess.alias("guess"), share.alias("p")).groupBy("declared", "guess").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
