@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pii, sequences
 from ..functions import text as T
 from ..functions.embedding import EmbedFn, embed, hashing
-from ..functions.vectors import dot
 
 
 def gate(messages: DataFrame) -> DataFrame:
@@ -19,10 +19,53 @@ def gate(messages: DataFrame) -> DataFrame:
     return messages.withColumn("reason", why).withColumn("status", F.when(why.isNotNull(), "inaudible"))
 
 
+#: Examples of the catalogue; more are an error, since it goes to every task.
+MAX_EXAMPLES = 50_000
+_ROWS = 1_024
+
+
+def judged(examples: DataFrame):
+    """Function of an embedding and whether its text is negated: the finding whose examples of the same sign come nearest, how near these
+    and those of the other sign are, and the nearest of all (-1 for none). Equal findings go by name.
+
+    Clauses are held against the whole catalogue in blocks of rows, as one product of matrices each.
+    """
+    rows = examples.select("finding", "negated", "embedding").where("finding IS NOT NULL AND negated IS NOT NULL AND embedding IS NOT NULL").limit(MAX_EXAMPLES + 1).toPandas()
+    if len(rows) > MAX_EXAMPLES:
+        raise ValueError(f"more than {MAX_EXAMPLES} examples")
+    names = sorted(set(rows.finding)) or [None]  # without any example nothing comes near
+    sides = []
+    for sign in (False, True):
+        own = rows[rows.negated == sign].sort_values("finding", kind="stable")
+        place = np.array([names.index(f) for f in own.finding], int)
+        sides.append((np.stack(own.embedding.to_list()).astype(float) if len(own) else None, place))
+
+    def nearest(x: np.ndarray, side) -> np.ndarray:
+        out = np.full((len(x), len(names)), -1.0)
+        vectors, place = side
+        if vectors is not None:
+            at, starts = np.unique(place, return_index=True)
+            out[:, at] = np.maximum.reduceat(x @ vectors.T, starts, axis=1)
+        return out
+
+    @F.pandas_udf("finding string, agree double, inverted double, top double")
+    def judge(embedding: pd.Series, negated: pd.Series) -> pd.DataFrame:
+        parts = []
+        for a in range(0, len(embedding), _ROWS):
+            x, neg = np.stack(embedding.iloc[a : a + _ROWS].to_list()).astype(float), negated.iloc[a : a + _ROWS].to_numpy(bool)[:, None]
+            plain, turned = (nearest(x, side) for side in sides)
+            agree, other = np.where(neg, turned, plain), np.where(neg, plain, turned)
+            k, i = agree.argmax(1), np.arange(len(x))
+            parts.append(pd.DataFrame({"finding": [names[j] for j in k], "agree": agree[i, k], "inverted": other[i, k], "top": np.maximum(agree, other).max(1)}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"finding": pd.Series(dtype=object), "agree": [], "inverted": [], "top": []})
+
+    return judge
+
+
 def analysed(messages: DataFrame, examples: DataFrame, floor: float = 0.15, accept: float = 0.3, fn: EmbedFn = hashing) -> DataFrame:
     """message_id, status, findings (array<struct<id, confidence>>), not_sure_count, off_list_count of every message.
 
-    ``examples`` (finding, negated, embedding) is the catalogue's fixed table and is broadcast. Messages without text are
+    ``examples`` (finding, negated, embedding) is the catalogue's fixed table, of at most MAX_EXAMPLES rows. Messages without text are
     inaudible; one with neither finding nor doubt is not_sure.
     """
     g = gate(messages.select("message_id", "text", "lang"))
@@ -30,13 +73,7 @@ def analysed(messages: DataFrame, examples: DataFrame, floor: float = 0.15, acce
     c = ok.select("message_id", "lang", F.posexplode(T.sentences(F.col("clean"))).alias("s", "sentence")).select("message_id", "lang", "s", F.posexplode(sequences.clauses()("sentence", "lang")).alias("c", "clause"))
     c = c.withColumn("t", T.padded(F.col("clause"))).withColumn("n", T.negation_in(F.col("t"), F.col("lang"))).drop("t")
     e = embed(c, "clause", fn)
-    x = F.broadcast(examples.select("finding", F.col("negated").alias("x_neg"), F.col("embedding").alias("x")))
-    sim = e.join(x).withColumn("sim", dot(F.col("embedding"), F.col("x")))  # every clause against the fixed catalogue
-    same = F.col("x_neg") == F.col("n.negated")
-    key = ["message_id", "s", "c"]
-    per = sim.groupBy(*key, "finding").agg(F.coalesce(F.max(F.when(same, F.col("sim"))), F.lit(-1.0)).alias("agree"), F.coalesce(F.max(F.when(~same, F.col("sim"))), F.lit(-1.0)).alias("inverted"), F.max("sim").alias("overall"), F.first("n.uncertain").alias("uncertain"))
-    w = Window.partitionBy(*key)
-    best = per.withColumn("top", F.max("overall").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("agree"), "finding"))).where("r = 1")
+    best = e.select("message_id", F.col("n.uncertain").alias("uncertain"), judged(examples)("embedding", "n.negated").alias("j")).select("message_id", "uncertain", "j.*")
     status = F.when(F.col("top") < floor, "off_list").when(F.col("uncertain"), "not_sure").when((F.col("agree") >= accept) & (F.col("agree") >= F.col("inverted")), "matched").otherwise("not_sure")
     d = best.select("message_id", "finding", "agree", status.alias("status"))
     hit = d.where("status = 'matched'").groupBy("message_id", "finding").agg(F.max("agree").alias("confidence"))

@@ -207,3 +207,20 @@ def test_three_phases(spark, tmp_path):
     clips = spark.createDataFrame([("a", "en", "The road was hard."), ("b", "en", "The road was soft. Perhaps."), ("c", "en", None)], "message_id string, lang string, sound string")
     out = analysis.three_phases(clips, spans, str(tmp_path), lambda c: c.withColumnRenamed("sound", "text"), F.upper, floor=0.3, accept=0.95)
     assert [(x.message_id, x.sentence_index, x.translation) for x in out.orderBy("sentence_index").collect()] == [("b", 0, "THE ROAD WAS SOFT."), ("b", 1, "PERHAPS.")]
+
+
+def test_judging_against_plain_products(spark):
+    from talkharvest.operators import analysis
+
+    r = np.random.default_rng(3)
+    ex = [("AB"[i % 2], bool(i % 3), [float(x) for x in r.standard_normal(8)]) for i in range(12)]
+    rows = [(i, bool(i % 2), [float(x) for x in r.standard_normal(8)]) for i in range(9)]
+    e = spark.createDataFrame(ex, "finding string, negated boolean, embedding array<float>")
+    m = spark.createDataFrame(rows, "i int, negated boolean, embedding array<float>")
+    dot = lambda a, b: float(np.float32(a).astype(float) @ np.float32(b).astype(float))
+    for x in m.select("i", "negated", "embedding", analysis.judged(e)("embedding", "negated").alias("j")).collect():
+        near = {f: [max((dot(x.embedding, v) for g, n, v in ex if g == f and (n == x.negated) == same), default=-1) for same in (True, False)] for f in "AB"}
+        f = max("AB", key=lambda f: near[f][0])
+        assert (x.j.finding, x.j.agree, x.j.inverted, x.j.top) == (f, pytest.approx(near[f][0]), pytest.approx(near[f][1]), pytest.approx(max(max(v) for v in near.values())))
+    none = m.select(analysis.judged(e.limit(0))("embedding", "negated").alias("j")).first().j
+    assert (none.finding, none.agree, none.top) == (None, -1.0, -1.0)
