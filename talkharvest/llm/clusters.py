@@ -2,11 +2,14 @@
 
 Grid density clustering: under several fixed rotations every vector falls into the cell of its largest coordinate
 (quantised features). Cells are counted; those of fewer than DENSE rows say nothing, and those that are too full are
-quantised again by further rotations until they are of bounded size, so one hot topic never becomes one task. Inside a
+quantised again by further rotations until they are of bounded size, so one hot topic never becomes one task; what no
+rotation parts is dealt to blocks, every two of which meet. Inside a
 dense cell, rows whose cosine reaches the link limit belong together; cells that share a row are adjacent, and minimum labels are propagated over (row, cell) until nothing
-changes. The groups are then closed under average linkage: the mean cosine of two groups is the product of their vector
-sums over their sizes, so mutual best partners at or above the limit are merged until none is left, again only between
-groups that share a cell.
+changes. The groups are then closed under average linkage: the mean cosine of two groups is the product of their mean
+vectors, and mutual best partners at or above the limit are merged until none is left. Here no cell is asked: every group
+is compared with every other of its period, block by block, so a pair that shared no cell is found all the same. Groups
+that no chain of such pairs connects never meet, so every connected part is closed in one task, by a chain of nearest
+neighbours; a part too large for one task is merged in rounds over all of it until it falls apart.
 
 Equal vectors of a period are one row of the search with their number as weight.
 """
@@ -25,13 +28,12 @@ from ..plans.cut import cut, spread
 from ..sources.tables import table, unique
 
 LIMIT, DIM = 0.57, 160
-#: Cosine of a direct link, rotations of the first search, of the merging rounds, and rows of one cell task.
-LINK, GRIDS, MERGE_GRIDS, CELL_ROWS = 0.70, 12, 16, 1_500
-#: Error of a mean cosine in bytes, allowed for before the exact check.
-SLACK = 0.01
-#: Rows from which on a cell is dense, further rotations by which a full cell can be cut (what its number has room for), and rounds
-#: without any partner at the limit after which a group is no longer looked for.
-DENSE, DEPTH, PATIENCE = 2, 6, 3
+#: Cosine of a direct link, rotations of the search, rows of one cell task, groups of one block and of one connected part closed in one task.
+LINK, GRIDS, CELL_ROWS, BLOCK_ROWS, PART_ROWS = 0.70, 12, 1_500, 32_768, 32_768
+#: Error of a mean cosine in single precision, allowed for before the exact check; and cosines held at a time.
+SLACK, HELD = 1e-5, 4_000_000
+#: Rows from which on a cell is dense, and further rotations by which a full cell can be cut (what its number has room for).
+DENSE, DEPTH = 2, 6
 #: Cells of one rotation and none.
 _RADIX = 2 * DIM + 1
 
@@ -122,29 +124,47 @@ def _placed(units: DataFrame, first: int, grids: int, dim: int, most: int | None
     """The cells of all units, dealt to partitions by cell and sorted; cells of more than ``most`` rows are divided first.
 
     The full cells stay a table that is joined to their units, so nothing about them reaches the driver. What still shares
-    a cell after DEPTH divisions has all but one direction; such rows are read in blocks that share a row.
+    a cell after DEPTH divisions has all but one direction; such rows are dealt to blocks of half a cell, and every two
+    blocks make a cell of their own, so all rows of the full cell meet.
     """
-    most = most or CELL_ROWS
+    most = max(2, most or CELL_ROWS)
     coded = cut(_coded(units, first, grids, dim))
-    for depth in range(DEPTH):
+    for depth in range(DEPTH + 1):
         single = coded.select("period", "unit", F.explode("cells").alias("cell"))
-        full = cut(single.groupBy("period", "cell").count().where(F.col("count") > most).select("period", "cell"))
-        if full.isEmpty():
+        full = cut(single.groupBy("period", "cell").count().where(F.col("count") > most))
+        hot = not full.isEmpty()
+        if not hot or depth == DEPTH:
             break
 
         inside = single.join(full, ["period", "cell"]).groupBy("period", "unit").agg(F.collect_list("cell").alias("some"))  # at most one cell a rotation
         both = coded.join(inside, ["period", "unit"], "left")
         coded = cut(both.withColumn("cells", F.when(F.col("some").isNull(), F.col("cells")).otherwise(_divided(first + 500 + depth)("vec", "cells", F.coalesce("some", F.array().cast("array<long>"))))).drop("some"))
-    return spread(coded.select("period", F.explode("cells").alias("cell"), "unit", "w", "vec"), "period", "cell").sortWithinPartitions("cell", "period", "unit")
+    placed = coded.select("period", F.explode("cells").alias("cell"), "unit", "w", "vec")
+    if hot:
+        met = _meeting(placed.join(full, ["period", "cell"], "left").withColumn("blocks", F.ceil(2 * F.coalesce("count", F.lit(0)) / most)), False)
+        # two cells of one number would only be searched together
+        placed = met.select("period", F.when(F.col("count").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", "low", "high")).alias("cell"), "unit", "w", "vec")
+    return spread(placed, "period", "cell").sortWithinPartitions("cell", "period", "unit")
+
+
+def _meeting(rows: DataFrame, itself: bool) -> DataFrame:
+    """Every row once for each block it meets: ``low`` and ``high`` are the two blocks, ``block`` is its own of ``blocks``.
+
+    An only block meets itself; where there are several, ``itself`` says whether each does or only meets the others.
+    """
+    own = rows.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("unit", F.lit(7)), F.col("blocks"))).otherwise(F.lit(0).cast("long")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks"), F.lit(1)).cast("long") - 1)))
+    return met.where(F.lit(itself) | (F.col("blocks") <= 1) | (F.col("other") != F.col("block"))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
 
 
 def _by_cell(placed: DataFrame, work, schema: str, dim: int, most: int | None = None) -> DataFrame:
-    """``work(name, units, w, directions) -> dict of columns`` over every dense cell, in blocks of at most ``most`` rows.
+    """``work(name, units, w, directions) -> dict of columns`` over every dense cell, whole unless ``most`` rows are asked for.
 
-    A block begins with the last row of the block before it in the same cell. A partition is read as a stream of sorted
-    cells; no more than one block and one batch are held.
+    A block of ``most`` begins with the last row of the block before it in the same cell. A partition is read as a stream
+    of sorted cells; no more than one cell or block and one batch are held. Where cells are bounded by ``_placed`` they are
+    read whole: blocks that share one row do not compare the others.
     """
-    most = max(2, most or CELL_ROWS)
+    most = max(2, most) if most else float("inf")
     fields = [c.split(" ")[0] for c in schema.split(", ")]
     types = {"string": pa.string(), "double": pa.float64()}
     kinds = [types[c.split(" ")[1]] for c in schema.split(", ")]
@@ -193,8 +213,8 @@ def _by_cell(placed: DataFrame, work, schema: str, dim: int, most: int | None =
 
 def _label(pairs: DataFrame) -> DataFrame:
     """unit, label: minimum labels propagated over unit-cell edges (unit, cell) to convergence."""
-    labels = cut(pairs.groupBy("unit").agg(F.min("unit").alias("label")))
     pairs = cut(pairs)
+    labels = cut(pairs.groupBy("unit").agg(F.min("unit").alias("label")))
     while True:
         of_cell = pairs.join(labels, "unit").groupBy("star").agg(F.min("label").alias("low"))
         low = pairs.join(of_cell, "star").groupBy("unit").agg(F.min("low").alias("low"))
@@ -259,29 +279,167 @@ def _summed(members: DataFrame, dim: int) -> DataFrame:
     return spread(partial, "unit").sortWithinPartitions("unit").mapInPandas(total, schema)
 
 
-def _best_partners(groups: DataFrame, first: int, dim: int, limit: float) -> tuple[DataFrame, DataFrame]:
-    """unit, other: mutual best partners whose mean cosine is at least ``limit``; and all units with a partner near it."""
+def _alike(a: np.ndarray, b: np.ndarray | None, limit: float):
+    """(first row of ``a``, first row of ``b``, cosines) of the rows of ``a`` against those of ``b``, some at a time; below ``limit`` it is -2.
 
-    def one(name, unit, w, x):
-        s = (x @ x.T).astype(np.float64) * w[:, None] * w[None, :]
-        np.fill_diagonal(s, -2)
-        at = s.argmax(1)
-        best = s[np.arange(len(unit)), at]
-        keep = best >= limit - SLACK
-        return {"unit": unit[keep].tolist(), "other": unit[at[keep]].tolist(), "sim": best[keep].tolist()}
-
-    found = _by_cell(_placed(groups, first, MERGE_GRIDS, dim), one, "unit string, other string, sim double", dim)
-    both = found.unionByName(found.select(F.col("other").alias("unit"), F.col("unit").alias("other"), "sim"))
-    best = cut(both.groupBy("unit").agg(F.max(F.struct("sim", "other")).alias("b")).select("unit", F.col("b.other").alias("other")))
-    mutual = best.join(best.select(F.col("other").alias("unit"), F.col("unit").alias("other")), ["unit", "other"]).where("unit < other")
+    Without ``b`` the rows of ``a`` are compared with those after them. What lies too near to the limit for single
+    precision is computed in double. Stretches without any pair are left out.
+    """
+    other, p = a if b is None else b, 0
+    while p < len(a):
+        start = p if b is None else 0
+        q = min(len(a), p + max(1, HELD // max(1, len(other) - start)))
+        s = a[p:q] @ other[start:].T
+        if b is None:
+            s[np.tril_indices(q - p)] = -2
+        if s.size and s.max() >= limit - SLACK:
+            i, j = np.nonzero(np.abs(s - np.float32(limit)) < SLACK)
+            for k in range(0, len(i), 10_000):
+                u, v = i[k : k + 10_000], j[k : k + 10_000]
+                exact = np.einsum("ij,ij->i", a[p + u].astype(float), other[start + v].astype(float))
+                s[u, v] = np.where(exact >= limit, np.maximum(s[u, v], np.float32(limit)), -2)
+            s[s < limit - SLACK] = -2
+            yield p, start, s
+        p = q
+
+
+def _nearest(a: np.ndarray, b: np.ndarray | None, limit: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(place of the best partner, its cosine) of every row of ``a`` in ``b``, and of ``b`` in ``a``; of equal partners the first counts."""
+    at, best = np.zeros(len(a), int), np.full(len(a), -2, np.float32)
+    at_b, best_b = (at, best) if b is None else (np.zeros(len(b), int), np.full(len(b), -2, np.float32))
+
+    def better(at, best, first, found, value):
+        rows = first + np.flatnonzero(value > best[first : first + len(value)])
+        at[rows], best[rows] = found[rows - first], value[rows - first]
+
+    for p, start, s in _alike(a, b, limit):
+        better(at, best, p, start + s.argmax(1), s.max(1))  # without b what came before was seen as a column
+        better(at_b, best_b, start, p + s.argmax(0), s.max(0))
+    return [(at, best)] if b is None else [(at, best), (at_b, best_b)]
+
+
+def _connected(a: np.ndarray, b: np.ndarray | None, limit: float) -> np.ndarray:
+    """The first row connected with each row of ``a`` and then ``b`` by pairs of which the cosine reaches ``limit``."""
+    root = np.arange(len(a) + (0 if b is None else len(b)))
+    for p, start, s in _alike(a, b, limit):
+        i, j = np.nonzero(s > -2)
+        i, j = i + p, j + start + (0 if b is None else len(a))
+        while True:
+            u, v = root[i], root[j]
+            apart = u != v
+            if not apart.any():
+                break
+            i, j, u, v = i[apart], j[apart], u[apart], v[apart]
+            np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+            while (root[root] != root).any():
+                root = root[root]
+    return root
 
-    @F.pandas_udf("double")
-    def mean_cosine(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([float(np.frombuffer(x, np.float32).astype(float) @ np.frombuffer(y, np.float32).astype(float)) for x, y in zip(a, b)]) / (n * m)
 
-    sums = groups.select("unit", "n", "vec")
-    both = mutual.join(sums, "unit").join(sums.select(F.col("unit").alias("other"), F.col("n").alias("m"), F.col("vec").alias("vec_other")), "other")
-    return both.where(mean_cosine("vec", "vec_other", "n", "m") >= limit).select("unit", "other"), best.select("unit")
+def _in_blocks(groups: DataFrame, work, schema: str, dim: int, most: int | None = None) -> DataFrame:
+    """``work(units, mean vectors, whether of the first block) -> columns`` over every two blocks of a period and every block by itself.
+
+    So every pair of groups is seen in one task, and only there. Units are sorted from the last name to the first.
+    """
+    count = groups.groupBy("period").agg(F.count(F.lit(1)).alias("rows"))
+    met = _meeting(groups.join(F.broadcast(count), "period").withColumn("blocks", F.ceil(F.col("rows") / (most or BLOCK_ROWS))), True)  # a row a period
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("unit", "descending")])
+        x = _matrix(t["vec"], dim) / t["n"].to_numpy()[:, None].astype(np.float32)
+        first = t["block"].to_numpy() == t["low"].to_numpy()
+        return pa.table(work(np.array(t["unit"].to_pylist(), object), x, first))
+
+    dealt = spread(met.select("period", "low", "high", "block", "unit", "n", "vec"), "period", "low", "high")
+    return dealt.groupBy("period", "low", "high").applyInArrow(one, schema)
+
+
+def _parts(groups: DataFrame, dim: int, limit: float) -> DataFrame:
+    """unit, label: the groups with any partner at ``limit`` or more, by the part that such pairs connect."""
+
+    def one(unit, x, first):
+        whole = first.all() or not first.any()
+        names = unit if whole else np.concatenate([unit[first], unit[~first]])
+        root = _connected(x, None, limit) if whole else _connected(x[first], x[~first], limit)
+        keep = np.bincount(root, minlength=len(root))[root] > 1
+        return {"unit": pa.array(names[keep].tolist(), pa.string()), "star": pa.array(names[root[keep]].tolist(), pa.string())}
+
+    return _label(_in_blocks(groups, one, "unit string, star string", dim))
+
+
+def _best_partners(groups: DataFrame, dim: int, limit: float) -> DataFrame:
+    """unit, other: the best partner of every group that has one of its period at a mean cosine of ``limit`` or more.
+
+    Of equal partners the greatest name counts, for both sides: the pair of the largest mean cosine is always mutual.
+    """
+
+    def one(unit, x, first):
+        if first.all() or not first.any():
+            sides = [(unit, unit, *_nearest(x, None, limit)[0])]
+        else:
+            a, b = _nearest(x[first], x[~first], limit)
+            sides = [(unit[first], unit[~first], *a), (unit[~first], unit[first], *b)]
+        kept = [(own[best > -2], partner[at[best > -2]], best[best > -2]) for own, partner, at, best in sides]
+        columns = [np.concatenate(c).tolist() for c in zip(*kept)]
+        return {k: pa.array(c, t) for k, c, t in zip(("unit", "other", "sim"), columns, (pa.string(), pa.string(), pa.float64()))}
+
+    found = _in_blocks(groups, one, "unit string, other string, sim double", dim)
+    return found.groupBy("unit").agg(F.max(F.struct("sim", "other")).alias("b")).select("unit", F.col("b.other").alias("other"))
+
+
+def _merged_into(sums: np.ndarray, n: np.ndarray, limit: float) -> np.ndarray:
+    """The row that stands for each row after mutual best partners have been merged until no mean cosine reaches ``limit``.
+
+    A chain of nearest neighbours ends in a mutual pair; what it merges is what merging the best pair of all first would.
+    """
+    sums, n = sums.astype(float), n.astype(float)
+    mean, into = sums / n[:, None], np.arange(len(n))
+    left, chain = list(range(len(n) - 1, -1, -1)), []
+    done = np.zeros(len(n), bool)
+    while left:
+        if not chain:
+            if done[left[-1]]:
+                left.pop()
+                continue
+            chain.append(left[-1])
+        top = chain[-1]
+        s = mean @ mean[top]
+        s[top] = -2
+        s[done] = -2
+        best = int(s.argmax())
+        if len(chain) > 1 and s[chain[-2]] >= s[best] - 1e-12:
+            best = chain[-2]
+        if s[best] < limit:  # no later group will be nearer
+            done[top] = True
+            chain.pop()
+        elif len(chain) > 1 and best == chain[-2]:
+            keep, gone = min(top, best), max(top, best)
+            sums[keep] += sums[gone]
+            n[keep] += n[gone]
+            mean[keep] = sums[keep] / n[keep]
+            into[gone], done[gone] = keep, True
+            del chain[-2:]
+        else:
+            chain.append(best)
+    while (into[into] != into).any():
+        into = into[into]
+    return into
+
+
+def _closed(groups: DataFrame, dim: int, limit: float) -> DataFrame:
+    """unit, to: what the groups of each part (``label``) are merged into, where that is another."""
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("unit")
+        into = _merged_into(_matrix(t["vec"], dim), t["n"].to_numpy(), limit)
+        unit, keep = np.array(t["unit"].to_pylist(), object), into != np.arange(len(into))
+        return pa.table({"unit": pa.array(unit[keep].tolist(), pa.string()), "to": pa.array(unit[into[keep]].tolist(), pa.string())})
+
+    return spread(groups.select("label", "unit", "n", "vec"), "label").groupBy("label").applyInArrow(one, "unit string, to string")
+
+
+def _renamed(member: DataFrame, renamed: DataFrame) -> DataFrame:
+    return cut(member.join(renamed.withColumnRenamed("unit", "label"), "label", "left").select("unit", F.coalesce("to", "label").alias("label")))
 
 
 def assign(rows: DataFrame, dim: int = DIM, limit: float = LIMIT, link: float = LINK) -> DataFrame:
@@ -298,22 +456,23 @@ def assign(rows: DataFrame, dim: int = DIM, limit: float = LIMIT, link: float =
     weighted = singles.withColumn("vec", F.when(F.col("n") > 1, weigh("vec", "n")).otherwise(F.col("vec")))
     member = cut(singles.select("unit").join(labels, "unit", "left").select("unit", F.coalesce("label", "unit").alias("label")))
     groups = cut(_summed(weighted.join(member, "unit").drop("unit").withColumnRenamed("label", "unit"), dim))
-    # Two groups reach the limit only if parts of them do, so a group that meets no partner at the limit in PATIENCE rounds of new
-    # rotations will meet none later; it is settled and no longer dealt to cells.
-    idle, k = groups.select("unit", F.lit(0).alias("idle")), 0
+    # Two groups reach the limit only if parts of them do, so a group that has no partner at the limit will never have one:
+    # it is settled and no longer compared.
     while True:
-        merge, met = _best_partners(groups, 2_000 + 100 * k, dim, limit)
-        merge = cut(merge)
-        if merge.isEmpty():
+        parts = _parts(groups, dim, limit)
+        size = parts.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+        groups = cut(groups.join(parts, "unit").join(size, "label"))
+        if groups.isEmpty():
+            break
+        member = _renamed(member, _closed(groups.where(F.col("rows") <= PART_ROWS), dim, limit))
+        groups = groups.where(F.col("rows") > PART_ROWS).select("period", "unit", "n", "vec")
+        if groups.isEmpty():
             break
-        renamed = merge.select(F.col("other").alias("unit"), F.col("unit").alias("to"))
-        changed = renamed.select("unit").unionByName(renamed.select(F.col("to").alias("unit")))
-        idle = idle.join(met.withColumn("met", F.lit(True)), "unit", "left").select("unit", F.when(F.col("met"), 0).otherwise(F.col("idle") + 1).alias("idle"))
-        idle = cut(idle.join(renamed.select("unit"), "unit", "left_anti").where(F.col("idle") < PATIENCE))
-        merged = _summed(groups.join(changed, "unit", "left_semi").join(renamed, "unit", "left").withColumn("unit", F.coalesce("to", "unit")).drop("to"), dim)
-        groups = cut(groups.join(changed, "unit", "left_anti").unionByName(merged).join(idle.select("unit"), "unit", "left_semi"))
-        member = cut(member.join(renamed.withColumnRenamed("unit", "label"), "label", "left").select("unit", F.coalesce("to", "label").alias("label")))
-        k += 1
+        best = cut(_best_partners(groups, dim, limit))
+        merge = best.join(best.select(F.col("other").alias("unit"), F.col("unit").alias("other")), ["unit", "other"]).where("unit < other")
+        renamed = cut(merge.select(F.col("other").alias("unit"), F.col("unit").alias("to")))
+        groups = cut(_summed(groups.join(renamed, "unit", "left").withColumn("unit", F.coalesce("to", "unit")).drop("to"), dim))
+        member = _renamed(member, renamed)
     return rows.join(member, "unit").select("id", "period", "visitor", "embedding", "unit", F.col("label").alias("cluster"))
 
 

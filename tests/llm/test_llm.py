@@ -95,6 +95,78 @@ def test_blocks_of_a_cell_share_a_row(spark):
     assert sorted(r.unit for r in seen) == ["u00,u01,u02,u03", "u03,u04,u05,u06", "u06,u07,u08,u09", "u09,u10"]
 
 
+def grouped(spark, vecs):
+    rows = [(f"c{i:03}", "m", None, "2026-01", "off_list", None, [float(x) for x in v], 1, "x") for i, v in enumerate(vecs)]
+    got = {}
+    for x in clusters.assign(clusters.candidates(spark.createDataFrame(rows, C))).collect():
+        got.setdefault(x.cluster, []).append(int(x.id[1:]))
+    return list(got.values())
+
+
+def test_no_partner_is_lost_to_full_cells_and_blocks(spark, monkeypatch):
+    # alike on average, but below the link limit, so only comparing all groups brings them together
+    monkeypatch.setattr(clusters, "CELL_ROWS", 8)
+    monkeypatch.setattr(clusters, "DEPTH", 1)
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(clusters, "PART_ROWS", 55)  # at first too large for one task
+    r = np.random.default_rng(11)
+    vecs = np.concatenate([r.standard_normal(160) + 0.8 * r.standard_normal((60, 160)) for _ in range(3)] + [r.standard_normal((30, 160))]).astype(np.float32)
+    groups = grouped(spark, vecs)
+    x = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1, keepdims=True)
+    mean = np.stack([x[g].mean(0) for g in groups])
+    between = mean @ mean.T
+    np.fill_diagonal(between, -1)
+    assert between.max() < clusters.LIMIT
+    assert all((len(g) ** 2 * mean[i] @ mean[i] - len(g)) / (len(g) * (len(g) - 1)) >= clusters.LIMIT for i, g in enumerate(groups) if len(g) > 1)
+    assert all(len({min(i // 60, 3) for i in g}) == 1 for g in groups if len(g) > 1) and max(map(len, groups)) > 30
+
+
+def test_all_rows_of_a_cell_no_rotation_parts_meet(spark):
+    # one direction and 40 rows: any two must share a cell however small the cells are
+    near = np.ones(160) + 1e-4 * np.random.default_rng(3).standard_normal((40, 160))
+    units = spark.createDataFrame([("2026-01", f"u{i:02}", 1, (v / np.linalg.norm(v)).astype(np.float32).tobytes()) for i, v in enumerate(near)], "period string, unit string, n long, vec binary")
+    met = clusters._by_cell(clusters._placed(units, 0, 1, 160, 8), lambda name, unit, w, x: {"unit": [",".join(unit)]}, "unit string", 160).collect()
+    pairs = {(a, b) for r in met for a in r.unit.split(",") for b in r.unit.split(",") if a < b}
+    assert len(pairs) == 40 * 39 // 2 and max(r.unit.count(",") + 1 for r in met) < 30
+
+
+def test_merging_against_the_best_pair_first():
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        x = r.standard_normal((3, 12))[r.integers(0, 3, 30)] + 0.7 * r.standard_normal((30, 12))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        groups = [[i] for i in range(30)]
+        while True:
+            m = np.stack([x[g].mean(0) for g in groups])
+            s = np.triu(m @ m.T, 1)
+            i, j = np.unravel_index(s.argmax(), s.shape)
+            if s[i, j] < clusters.LIMIT:
+                break
+            groups[i] += groups.pop(j)
+        into = clusters._merged_into(x, np.ones(30), clusters.LIMIT)
+        assert sorted(map(sorted, groups)) == sorted(np.flatnonzero(into == k).tolist() for k in set(into))
+
+
+def test_nearest_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(clusters, "HELD", 90)
+    r = np.random.default_rng(6)
+    x = r.standard_normal((41, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = (x.astype(float) @ x.T.astype(float)).astype(np.float32)
+    np.fill_diagonal(s, -2)
+    s[s < 0.5] = -2
+    ((at, best),) = clusters._nearest(x, None, 0.5)
+    assert np.allclose(best, s.max(1), atol=1e-6) and (at == np.where(s.max(1) > -2, s.argmax(1), 0)).all()
+    (at_a, best_a), (at_b, best_b) = clusters._nearest(x[:13], x[13:], 0.5)
+    assert np.allclose(best_a, s[:13, 13:].max(1), atol=1e-6) and np.allclose(best_b, s[13:, :13].max(1), atol=1e-6)
+    near = s > -2
+    for _ in range(6):
+        near = near | (near.astype(int) @ near > 0)
+    np.fill_diagonal(near, True)
+    assert (clusters._connected(x, None, 0.5) == near.argmax(1)).all()
+    assert (at_a[best_a > -2] == s[:13, 13:].argmax(1)[best_a > -2]).all() and (at_b[best_b > -2] == s[13:, :13].argmax(1)[best_b > -2]).all()
+
+
 # ---------------------------------------------------------------- p2
 
 
