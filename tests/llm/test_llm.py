@@ -306,6 +306,36 @@ def test_boundaries_against_all_event_rows():
         assert sentences.boundaries(list(odds), list(gaps)) == want
 
 
+def test_length_steps_against_all_event_rows():
+    # the weights of an event and of none depend on the words since the last event, so events far apart depend on each other
+    r = np.random.default_rng(8)
+    for _ in range(100):
+        n = int(r.integers(1, 8))
+        odds, gaps = r.random(n), r.integers(1, 4, n)
+        steps = [(0.0, 1.0), *zip(r.random(5).tolist(), r.random(5).tolist())]
+        on, total = np.zeros(n), 0.0
+        for bits in range(2**n):
+            p, since = 1.0, 0
+            for i in range(n):
+                since = min(since + gaps[i], 5)
+                p *= odds[i] * steps[since][0] if bits >> i & 1 else (1 - odds[i]) * steps[since][1]
+                since = 0 if bits >> i & 1 else since
+            on += p * np.array([bits >> i & 1 for i in range(n)])
+            total += p
+        assert sentences.boundaries(odds.tolist(), gaps.tolist(), steps) == (on > total / 2).tolist()
+
+
+def test_the_last_event_changes_the_next(spark):
+    # no line's first sentence has one word: the same place is a boundary after enough words only
+    texts = ["We saw the farm. We liked it.", "The guide was kind. The road was hard.", "We liked it. The farm was big.", "We saw the farm.", "The road was hard."] * 20 + ["Xy. Abc saw the farm."] * 60
+    m = sentences.train(sentences.scanned(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "rec_id string, text string")))
+    assert m.steps[0][0] == 0 and m.steps[1][0] < m.steps[3][0] and m.steps[1][0] < m.steps[4][0] and len(m.steps) == sentences.LENGTH + 1
+    lines, _, _ = sentences.taken("We liked it. The farm was big.")
+    assert lines.split("\t")[-3:] == ["30", "4", ""]  # the line's end is a sure event
+    short, long_ = sentences.boundaries([0.6], [1], m.steps), sentences.boundaries([0.6], [4], m.steps)
+    assert short == [False] and long_ == [True]
+
+
 # ---------------------------------------------------------------- p4
 
 
