@@ -332,8 +332,9 @@ def test_the_last_event_changes_the_next(spark):
     assert m.steps[0][0] == 0 and m.steps[1][0] < m.steps[3][0] and m.steps[1][0] < m.steps[4][0] and len(m.steps) == sentences.LENGTH + 1
     lines, _, _ = sentences.taken("We liked it. The farm was big.")
     assert lines.split("\t")[-3:] == ["30", "4", ""]  # the line's end is a sure event
-    short, long_ = sentences.boundaries([0.6], [1], m.steps), sentences.boundaries([0.6], [4], m.steps)
-    assert short == [False] and long_ == [True]
+    half = [off / (on + off) for on, off in (m.steps[1], m.steps[4])]
+    p = sum(half) / 2
+    assert half[0] > half[1] and sentences.boundaries([p], [1], m.steps) == [False] and sentences.boundaries([p], [4], m.steps) == [True]
 
 
 # ---------------------------------------------------------------- p4
